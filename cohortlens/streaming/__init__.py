@@ -1,0 +1 @@
+"""Intentionally empty: the covered workloads are batch only (no watermark, window or state)."""
