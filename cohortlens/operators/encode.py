@@ -12,13 +12,22 @@ def dummy_name(prefix: str, label: str) -> str:
     return slug(f"{prefix}_{label}" if prefix else label)
 
 
+def quoted(value) -> str:
+    """A SQL literal."""
+    if not isinstance(value, str):
+        return repr(value)
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def dummies(
     column: str, categories: list[str], prefix: str = "", drop_first: bool = False
 ) -> list[Column]:
     """0/1 columns per category; a null value is 0 everywhere."""
     kept = categories[1:] if drop_first else categories
     return [
-        F.when(F.col(column) == c, 1).otherwise(0).alias(dummy_name(prefix, str(c))) for c in kept
+        F.expr(f"CASE WHEN `{column}` = {quoted(c)} THEN 1 ELSE 0 END AS {dummy_name(prefix, str(c))}")
+        for c in kept
     ]
 
 

@@ -14,9 +14,14 @@ from cohortlens.session import cut_lineage, shuffle_partitions
 ACCURACY = 10_000
 
 
-def _cuts(order: Column, buckets: int) -> Column:
-    shares = [i / buckets for i in range(1, buckets)]
-    return F.percentile_approx(order, shares, ACCURACY)
+def quantile_points(column: str, shares: list[float]) -> Column:
+    """Approximate quantiles of a numeric column as one array."""
+    listed = ", ".join(f"{s!r}D" for s in shares)
+    return F.expr(f"percentile_approx(`{column}`, array({listed}), {ACCURACY})")
+
+
+def _cuts(order: str, buckets: int) -> Column:
+    return quantile_points(order, [i / buckets for i in range(1, buckets)])
 
 
 def _below(cuts: Column, value: Column) -> Column:
@@ -34,7 +39,7 @@ def running_totals(
     by = by or ["_all"]
     source = df.withColumn("_all", F.lit(0)) if by == ["_all"] else df
     buckets = shuffle_partitions(df.sparkSession)
-    cuts = source.groupBy(*by).agg(_cuts(F.col(order), buckets).alias("_cuts"))
+    cuts = source.groupBy(*by).agg(_cuts(order, buckets).alias("_cuts"))
     marked = (
         source.join(F.broadcast(cuts), by)
         .withColumn("_bucket", _below(F.col("_cuts"), F.col(order)))
@@ -69,14 +74,14 @@ def ordinal(df: DataFrame, order: str, tie: str, name: str = "ordinal") -> DataF
     """
     df = cut_lineage(df)
     buckets = shuffle_partitions(df.sparkSession)
-    cuts = df.agg(_cuts(F.col(order), buckets).alias("cuts")).scalar()
+    cuts = df.agg(_cuts(order, buckets).alias("cuts")).scalar()
     marked = (
         df.withColumn("_cuts", cuts)
         .withColumn("_equal", F.array_contains("_cuts", F.col(order)))
         .withColumn("_bucket", 2 * _below(F.col("_cuts"), F.col(order)) + F.col("_equal").cast("int"))
     )
     inner_cuts = (
-        marked.filter("_equal").groupBy("_bucket").agg(_cuts(F.col(tie), buckets).alias("_inner"))
+        marked.filter("_equal").groupBy("_bucket").agg(_cuts(tie, buckets).alias("_inner"))
     )
     placed = marked.join(F.broadcast(inner_cuts), "_bucket", "left").withColumn(
         "_slot", F.when(F.col("_equal"), _below(F.col("_inner"), F.col(tie))).otherwise(0)

@@ -126,7 +126,7 @@ def perceptron(inputs: int, hidden: tuple[int, ...] = (256, 128), rounds: int =
 
 
 def cross_validated(
-    estimator: Estimator, grid: dict[str, list], folds: int = 10, metric: str = "accuracy", parallel: int = 4
+    estimator: Estimator, grid: dict[str, list], folds: int = 10, metric: str = "accuracy", parallel: int = 8
 ) -> CrossValidator:
     """Grid search over folds given by the student hash, so no student is on both sides."""
     builder = ParamGridBuilder()
@@ -190,7 +190,7 @@ def evaluate(
         .join(F.broadcast(roc_on_labels(predictions, by=["is_dev"])), "is_dev", "left")
     )
     metrics = ["n", "accuracy", "f1", "precision", "recall", "roc_auc", "roc_on_labels"]
-    row = judged.agg(
+    figures = judged.agg(
         *[
             F.max(F.when(F.col("is_dev") == dev, F.col(m))).alias(f"{side}_{m}")
             for side, dev in (("dev", True), ("train", False))
@@ -200,6 +200,8 @@ def evaluate(
         F.lit(name).alias("model"), F.lit(n_features).alias("n_features"), "*",
         F.lit(seconds).alias("fit_seconds"),
     )
+    row = data.sparkSession.createDataFrame([figures.first()], figures.schema)
+    predictions.unpersist()
     return model, row
 
 

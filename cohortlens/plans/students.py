@@ -136,11 +136,10 @@ def student_master(
     )
 
 
-def response_columns(index: Column | str = "dem_n") -> list[Column]:
+def response_columns(index: str = "dem_n") -> list[Column]:
     """Exact-time responses: 1 when the degree came after exactly that many years."""
-    years = (F.col(index) if isinstance(index, str) else index) * 0.5
     return [
-        F.when(years == y, 1).otherwise(0).alias(name)
+        F.expr(f"CASE WHEN {index} * 0.5D = {y}D THEN 1 ELSE 0 END AS {name}")
         for y, name in zip(GRADUATION_YEARS, RESPONSE_COLUMNS)
     ]
 
@@ -169,20 +168,17 @@ def scale_columns(
     to both. The figures are one row per split, at most two, so that join is broadcast.
     """
     measured = df.filter(~F.col(split)) if fit_on == "train" else df
-    figures = [F.avg(c).alias(f"_m_{c}") for c in columns] + [
-        F.stddev_pop(c).alias(f"_s_{c}") for c in columns
+    figures = [F.expr(f"avg({c}) AS _m_{c}") for c in columns] + [
+        F.expr(f"CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS _s_{c}")
+        for c in columns
     ]
-
-    def z(c: str) -> Column:
-        spread = F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}"))
-        return (F.col(c) - F.col(f"_m_{c}")) / spread
-
     if fit_on == "train":
         row = measured.agg(F.struct(*figures).alias("f")).scalar()
         joined = df.withColumn("_f", row).select("*", "_f.*").drop("_f")
     else:
         joined = df.join(F.broadcast(measured.groupBy(split).agg(*figures)), split)
-    return joined.withColumns({c: z(c) for c in columns}).select(*df.columns)
+    scaled = {c: f"({c} - _m_{c}) / _s_{c} AS {c}" for c in columns}
+    return joined.selectExpr(*[scaled.get(c, f"`{c}`") for c in df.columns])
 
 
 def impute_means(
@@ -196,9 +192,8 @@ def impute_means(
         joined = df.withColumn("_f", row).select("*", "_f.*").drop("_f")
     else:
         joined = df.join(F.broadcast(measured.groupBy(split).agg(*means)), split)
-    return joined.withColumns(
-        {c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in columns}
-    ).select(*df.columns)
+    filled = {c: f"coalesce({c}, _m_{c}) AS {c}" for c in columns}
+    return joined.selectExpr(*[filled.get(c, f"`{c}`") for c in df.columns])
 
 
 def fuse_scores(df: DataFrame, fit_on: str | None = None) -> DataFrame:
@@ -235,8 +230,8 @@ def student_features(
         "is_dev",
     ]
     chosen = filled.select(*columns)
-    complete = ~F.greatest(*[F.col(c).isNull() for c in columns])
-    return chosen.filter(F.col("is_dev") | complete)
+    incomplete = " OR ".join(f"{c} IS NULL" for c in columns)
+    return chosen.filter(f"is_dev OR NOT ({incomplete})")
 
 
 def static_columns(encoding=DEMOGRAPHIC_ENCODING) -> list[str]:

@@ -24,7 +24,7 @@ def term_aggregate(
     return (
         rows.na.drop("any", subset=keys)
         .groupBy(*keys)
-        .agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
+        .agg(*[F.expr(f"coalesce(sum({m}), 0) AS {m}") for m in measures])
     )
 
 
@@ -50,8 +50,8 @@ def cumulate(
     rows: DataFrame, measures: list[str], student: str = "emplid", term: str = "term_code"
 ) -> DataFrame:
     """Running sums per student; all rows of a term share the total of that term."""
-    scope = _up_to_term(student, term)
-    return rows.withColumns({f"cum_{m}": F.sum(m).over(scope) for m in measures})
+    scope = f"PARTITION BY {student} ORDER BY {term} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return rows.selectExpr("*", *[f"sum({m}) OVER ({scope}) AS cum_{m}" for m in measures])
 
 
 def cumulate_rows(rows: DataFrame, measures: list[str]) -> DataFrame:

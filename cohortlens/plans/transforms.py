@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.ordered import quantile_points
+
 # Coefficients of a public rational approximation of the inverse normal distribution.
 CENTRE_NUM = [
     -3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
@@ -48,26 +52,31 @@ def inverse_normal(share: Column) -> Column:
 def quantile_normal(df: DataFrame, columns: list[str], landmarks: int = 1000) -> DataFrame:
     """Replace each column by the normal quantile of its interpolated rank.
 
-    The ranks come from a fixed number of quantile landmarks per column, a one-row scalar however
-    large the input is. A value equal to several landmarks takes the middle of their ranks.
+    The ranks come from a fixed number of quantile landmarks per column, however large the input is.
+    A value equal to several landmarks takes the middle of their ranks. Looking a value up among the
+    landmarks is a binary search over Arrow batches; the normal quantile is a built-in expression.
     """
     shares = [i / (landmarks - 1) for i in range(landmarks)]
-    row = df.agg(
-        F.struct(
-            *[F.percentile_approx(F.col(c).cast("double"), shares, 10_000).alias(c) for c in columns]
-        ).alias("f")
-    ).scalar()
-    held = df.withColumn("_f", row)
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    found = numbers.agg(*[quantile_points(c, shares).alias(c) for c in columns]).first()
+
+    def rank(marks: list[float]):
+        points = np.asarray(marks)
+
+        @F.pandas_udf("double")
+        def share_of(values: pd.Series) -> pd.Series:
+            x = values.to_numpy(dtype=float)
+            below = np.searchsorted(points, x, "left")
+            upto = np.searchsorted(points, x, "right")
+            low = points[np.clip(below - 1, 0, len(points) - 1)]
+            high = points[np.clip(below, 0, len(points) - 1)]
+            gap = np.where(high > low, high - low, 1.0)
+            between = np.clip(below - 1 + (x - low) / gap, 0, len(points) - 1)
+            spot = np.where(upto > below, (below + upto - 1) / 2.0, between)
+            return pd.Series(np.where(np.isnan(x), np.nan, spot / (len(points) - 1)))
 
-    def rank(c: str) -> Column:
-        marks, x = F.col(f"_f.{c}"), F.col(c).cast("double")
-        below = F.size(F.filter(marks, lambda m: m < x))
-        upto = F.size(F.filter(marks, lambda m: m <= x))
-        low, high = F.get(marks, below - 1), F.get(marks, below)
-        between = F.when(low.isNull(), 0.0).when(high.isNull(), landmarks - 1.0).otherwise(
-            below - 1 + F.try_divide(x - low, high - low)
-        )
-        middle = (below + upto - 1) / F.lit(2.0)
-        return F.when(upto > below, middle).otherwise(between) / F.lit(landmarks - 1.0)
+        return share_of
 
-    return held.withColumns({c: inverse_normal(rank(c)) for c in columns}).select(*df.columns)
+    known = [c for c in columns if found[c] is not None]
+    ranked = df.withColumns({c: rank(found[c])(F.col(c).cast("double")) for c in known})
+    return ranked.withColumns({c: F.when(~F.isnan(c), inverse_normal(F.col(c))) for c in known})

@@ -37,14 +37,16 @@ RATINGS_SCHEMA = T.StructType(
 
 
 class Tables:
-    """Lazy access to ``<root>/<name>.parquet``; every attribute is a DataFrame scan."""
+    """Lazy access to ``<root>/<name>.parquet``; every attribute is a DataFrame scan, opened once."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        frame = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        setattr(self, name, frame)
+        return frame
 
 
 def read_jdbc(
