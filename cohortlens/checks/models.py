@@ -99,7 +99,7 @@ def gbt_rounds(t: Tables) -> DataFrame:
 
 @check("elastic_net")
 def elastic_net(t: Tables) -> DataFrame:
-    return judged(t, "elastic_net", M.elastic_net(10, [0.001, 0.01], [0.1, 0.9]), cut=0.6)
+    return judged(t, "elastic_net", M.elastic_net(10, [0.001, 0.01], [0.5]), cut=0.6)
 
 
 @check("mlp_t")

@@ -27,7 +27,7 @@ NEIGHBOURS = 40
 CLUSTERS = 3
 CLUSTER_ROUNDS = 20
 
-ROUNDS_PER_CUT = 2
+ROUNDS_PER_CUT = 5
 RANKS_PER_SLICE = 1024
 
 
@@ -172,13 +172,13 @@ def als_predict(
             userCol="user",
             itemCol="item",
             ratingCol="resid",
-            predictionCol="factor",
             rank=rank,
             maxIter=rounds,
             regParam=penalty,
             seed=42,
             coldStartStrategy="nan",
         ).fit(known.filter(F.col("fold") == fold).select("user", "item", "resid"))
+        model.setPredictionCol("factor")
         parts.append(model.transform(asked.filter(F.col("fold") == fold)))
     scored = parts[0]
     for part in parts[1:]:
@@ -215,39 +215,38 @@ def als_grid(
 
 def _cluster_stats(rows: DataFrame, clusters: DataFrame, side: str, other: str) -> DataFrame:
     """Per ``side`` entity and cluster of the other side: count, sum of ratings, sum of residues."""
-    joined = rows.join(clusters, ["fold", other])
     cells = []
     for c in range(CLUSTERS):
-        here = F.col(f"c_{other}") == c
+        here = f"FILTER (WHERE c_{other} = {c})"
         cells += [
-            F.count_if(here).alias(f"n{c}"),
-            F.sum(F.when(here, F.col("rating")).otherwise(0)).alias(f"r{c}"),
-            F.sum(F.when(here, F.col("left")).otherwise(0.0)).alias(f"x{c}"),
+            F.expr(f"count(*) {here} AS n{c}"),
+            F.expr(f"coalesce(sum(rating) {here}, 0) AS r{c}"),
+            F.expr(f"coalesce(sum(left) {here}, 0) AS x{c}"),
         ]
-    return joined.groupBy("fold", side).agg(*cells)
+    return rows.join(clusters, ["fold", other]).groupBy("fold", side).agg(*cells)
 
 
 def _cluster_means(stats: DataFrame, clusters: DataFrame, means: DataFrame) -> DataFrame:
     """One row per fold: co-cluster means ``m<u><i>``, user cluster ``u<u>`` and item cluster ``i<i>``."""
-    joined = stats.join(clusters, ["fold", "user"])
-    sums = []
-    for u in range(CLUSTERS):
-        inside = F.col("c_user") == u
-        for i in range(CLUSTERS):
-            sums.append(F.sum(F.when(inside, F.col(f"r{i}")).otherwise(0)).alias(f"r{u}{i}"))
-            sums.append(F.sum(F.when(inside, F.col(f"n{i}")).otherwise(0)).alias(f"n{u}{i}"))
     span = range(CLUSTERS)
-
-    def mean(cells: list[tuple[int, int]], name: str) -> Column:
-        total = sum((F.col(f"r{u}{i}") for u, i in cells), F.lit(0.0))
-        count = sum((F.col(f"n{u}{i}") for u, i in cells), F.lit(0))
-        return F.coalesce(F.try_divide(total, count), F.col("mean")).alias(name)
+    sums = [
+        F.expr(f"coalesce(sum({c}{i}) FILTER (WHERE c_user = {u}), 0) AS {c}{u}{i}")
+        for u in span
+        for i in span
+        for c in "rn"
+    ]
+
+    def mean(cells: list[tuple[int, int]], name: str) -> str:
+        total = " + ".join(f"r{u}{i}" for u, i in cells)
+        count = " + ".join(f"n{u}{i}" for u, i in cells)
+        return f"coalesce(try_divide(double({total}), double({count})), mean) AS {name}"
 
     return (
-        joined.groupBy("fold")
+        stats.join(clusters, ["fold", "user"])
+        .groupBy("fold")
         .agg(*sums)
         .join(F.broadcast(means), "fold")
-        .select(
+        .selectExpr(
             "fold",
             *[mean([(u, i)], f"m{u}{i}") for u in span for i in span],
             *[mean([(u, i) for i in span], f"u{u}") for u in span],
@@ -263,12 +262,15 @@ def _assign(stats: DataFrame, centres: DataFrame, side: str) -> DataFrame:
         terms = []
         for c in range(CLUSTERS):
             u, i = (own, c) if side == "user" else (c, own)
-            shift = F.col(f"m{u}{i}") - F.col(f"u{u}") - F.col(f"i{i}")
-            terms.append(shift * shift * F.col(f"n{c}") - 2 * shift * F.col(f"x{c}"))
-        errors.append(sum(terms[1:], terms[0]))
-    choice = F.array_position(F.array(*errors), F.array_min(F.array(*errors))) - 1
-    return stats.join(F.broadcast(centres), "fold").select(
-        "fold", side, choice.cast("int").alias(f"c_{side}")
+            shift = f"(m{u}{i} - u{u} - i{i})"
+            terms.append(f"{shift} * {shift} * n{c} - 2 * {shift} * x{c}")
+        errors.append(" + ".join(terms))
+    return (
+        stats.join(F.broadcast(centres), "fold")
+        .selectExpr("fold", side, f"array({', '.join(errors)}) AS errors")
+        .selectExpr(
+            "fold", side, f"int(array_position(errors, array_min(errors)) - 1) AS c_{side}"
+        )
     )
 
 
@@ -291,14 +293,12 @@ def co_cluster_predict(train: DataFrame, test: DataFrame, rounds: int = CLUSTER_
         draw = F.floor((1 - hash_uniform([side], 42)) * CLUSTERS).cast("int")
         return rows.select("fold", side).distinct().withColumn(f"c_{side}", draw)
 
-    users, items = start("user"), start("item")
-    for n in range(1, rounds + 1):
+    users, items = cut_lineage(start("user")), cut_lineage(start("item"))
+    for _ in range(rounds):
         stats = _cluster_stats(rows, items, "user", "item")
         centres = _cluster_means(stats, users, means)
-        users = _assign(stats, centres, "user")
-        items = _assign(_cluster_stats(rows, users, "item", "user"), centres, "item")
-        if n % ROUNDS_PER_CUT == 0 or n == rounds:
-            users, items = cut_lineage(users), cut_lineage(items)
+        users = cut_lineage(_assign(stats, centres, "user"))
+        items = cut_lineage(_assign(_cluster_stats(rows, users, "item", "user"), centres, "item"))
     centres = _cluster_means(_cluster_stats(rows, items, "user", "item"), users, means)
 
     def at(name: Callable[[int, int], str]) -> Column:

@@ -97,12 +97,14 @@ def read_delimited(
     sep: str = ";",
     encoding: str = "ISO-8859-1",
 ) -> DataFrame:
-    """Delimited text with a header; lines that do not fit the schema are skipped.
+    """Delimited text with a header; lines with another number of fields are skipped.
 
-    Column pruning is off so that a line is judged by all of its fields, whatever the query selects.
+    All fields are read as text and cast afterwards, and column pruning is off, so which lines are
+    skipped does not depend on the columns a query selects. A field that does not parse is null.
     """
-    frame = (
-        spark.read.schema(schema)
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    lines = (
+        spark.read.schema(text)
         .options(
             sep=sep,
             encoding=encoding,
@@ -114,6 +116,7 @@ def read_delimited(
         )
         .csv(path)
     )
+    frame = lines.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
     return frame.toDF(*names) if names else frame
 
 
