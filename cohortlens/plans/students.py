@@ -15,6 +15,7 @@ from cohortlens.functions.expressions import (
 from cohortlens.functions.labels import DEMOGRAPHIC_ENCODING, GRADUATION_YEARS
 from cohortlens.operators.encode import encoded_names, one_hot
 from cohortlens.plans.course import GRADE_FLAGS
+from cohortlens.session import cut_lineage
 
 TEST_COLUMNS = [
     "act_comp",
@@ -213,10 +214,14 @@ def student_features(
 ) -> DataFrame:
     """The final feature table: one row per student attribute row and term row.
 
-    ``students`` comes from ``encode_students``. Incomplete rows leave the training part only.
+    ``students`` comes from ``encode_students``. Incomplete rows leave the training part only. The
+    joined rows are written once: scaling and imputing then scan only the score columns, instead of
+    running the term pipeline again for each set of figures.
     """
-    joined = students.join(terms, ["emplid", "cohort"], "left").withColumn(
-        "plan_cd", plan_text("plan_cd")
+    measured = [c for c in PERFORMANCE_COLUMNS if c in terms.columns]
+    known = terms.select(*ID_COLUMNS, *measured)
+    joined = cut_lineage(
+        students.join(known, ["emplid", "cohort"], "left").withColumn("plan_cd", plan_text("plan_cd"))
     )
     filled = impute_means(
         fuse_scores(joined, fit_on), ["t_comp", "t_read", "t_math", "gpa_hs"], fit_on=fit_on

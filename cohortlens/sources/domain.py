@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.labels import GRADES
-from cohortlens.sources.readers import Tables
+from cohortlens.sources.readers import Tables, spread
 
 # The departments' stand-in (part types counted as science).
 SCIENCE_TYPES = ["ECONOMY", "PROMO"]
@@ -53,7 +53,8 @@ def enrolments(t: Tables, science: bool = True) -> DataFrame:
     grade = _pick(
         GRADES, (F.col("l_partkey") * 7 + F.col("l_suppkey") * 3 + F.col("l_linenumber")) % 14
     )
-    lines = t.lineitem.select(
+    raw = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    lines = spread(raw, "l_orderkey").select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.col("l_partkey").alias("p_partkey"),
         grade.alias("grade"),

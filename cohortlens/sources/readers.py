@@ -49,6 +49,18 @@ class Tables:
         return frame
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over all cores when a table fits into one input split and so into one task.
+
+    A larger table is left as it was read: its splits already occupy the cluster, and shuffling it
+    would cost more than it gains.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(key) if size <= split else df
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
