@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import chat, decontaminate, line_dedup, sharding
+from cohortlens.llm import bpe, chat, decontaminate, line_dedup, sharding
 from cohortlens.llm.common import table
 
+# Where the public tokenizer files are; any other folder with the same files will do.
+TOKENIZERS = Path(public_tokenizers.path(""))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -44,3 +49,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_chat_formatting", chat.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.rotate(table(spark, sf_dir, "conversations")))
+
+
+def word_tokenizer() -> bpe.Tokenizer:
+    return bpe.Tokenizer.read(str(TOKENIZERS / "word_bpe_49k.json"))
+
+
+@query("op9_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"), word_tokenizer())
