@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import bpe, chat, decontaminate, line_dedup, quality, sharding
+from cohortlens.llm import bpe, chat, decontaminate, line_dedup, near_dup, quality, sharding
 from cohortlens.llm.common import table
 
 # Where the public tokenizer files are; any other folder with the same files will do.
@@ -63,3 +63,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_near_dup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.report(table(spark, sf_dir, "documents"))
