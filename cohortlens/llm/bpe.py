@@ -383,21 +383,34 @@ def decode(rows: DataFrame, tokenizer: Tokenizer, ids: str = "ids", text: str =
     return map_rows(rows, make, struct(f"`{name}` string"), rows.columns)
 
 
-def report(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document the number of tokens and digests of the ids and of the decoded text, in one pass."""
-
+def _digests(docs: DataFrame, tokenizer: Tokenizer, key: str, text: str, ids: bool) -> DataFrame:
     def make():
         encoder = tokenizer.encoder()
 
         def compute(batch):
             found = encoder.encode_batch(batch.column(text).to_pylist())
-            return {
+            out = {
                 "n_tokens": [len(b) // 4 for b in found],
                 "ids_sha256": [hashlib.sha256(b).hexdigest() for b in found],
                 "decoded_sha256": [hashlib.sha256(encoder.decode(b)).hexdigest() for b in found],
             }
+            if ids:
+                out["ids"] = [np.frombuffer(b, "<u4").astype(np.int32) for b in found]
+            return out
 
         return compute
 
-    added = struct("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    return map_rows(docs, make, added, [key])
+    added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return map_rows(docs, make, struct(added + ", ids array<int>" * ids), [key])
+
+
+def report(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document the number of tokens and digests of the ids and of the decoded text, in one pass."""
+    return _digests(docs, tokenizer, key, text, ids=False)
+
+
+def encode_documents(
+    docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``report`` with the ids themselves (array<int>)."""
+    return _digests(docs, tokenizer, key, text, ids=True)

@@ -8,8 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import decontaminate, line_dedup
+from cohortlens.llm import bpe, decontaminate, line_dedup, near_dup, quality
 from cohortlens.llm.common import prepare, table
+from cohortlens.llm.queries import word_tokenizer
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects go."""
+    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +24,12 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return line_dedup.drop_lines(docs, n_chars="n_chars")
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each group the document of the smallest id stays."""
+    prepare(spark)
+    return near_dup.drop_copies(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: contaminated documents go."""
     return decontaminate.drop_contaminated(
@@ -25,9 +37,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     )
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE: token ids of every document, with digests of the ids and of the text they decode to."""
+    prepare(spark)
+    return bpe.encode_documents(docs, word_tokenizer())
+
+
 STAGES = [
+    ("quality", drop_low_quality),
     ("line_dedup", drop_boilerplate_lines),
+    ("near_dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
+    ("bpe", encode),
 ]
 
 # The quality classifier and the tokenizer cannot be stated in SQL; tests hold each stage against a
