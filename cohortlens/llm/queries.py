@@ -7,8 +7,9 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, chat, decontaminate, line_dedup, near_dup, quality, sharding
+from cohortlens.llm import bpe, chat, decontaminate, html_extract, html_pages, line_dedup, near_dup, quality, sharding
 from cohortlens.llm.common import table
 
 # Where the public tokenizer files are; any other folder with the same files will do.
@@ -68,3 +69,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_near_dup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = html_extract.fit(html_pages.labelled_pages())
+    out, text = html_extract.main_text(pages, model, keep=["page_id", "url"])
+    return out.select("page_id", "url", text, F.length(text).cast("long").alias("n_chars"))
