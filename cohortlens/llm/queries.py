@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, chat, decontaminate, html_extract, html_pages, line_dedup, near_dup, quality, sharding
+from cohortlens.llm import bpe, chat, decontaminate, html_extract, html_pages, line_dedup, near_dup, neighbours, quality, sharding
 from cohortlens.llm.common import table
 
 # Where the public tokenizer files are; any other folder with the same files will do.
@@ -77,3 +77,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = html_extract.fit(html_pages.labelled_pages())
     out, text = html_extract.main_text(pages, model, keep=["page_id", "url"])
     return out.select("page_id", "url", text, F.length(text).cast("long").alias("n_chars"))
+
+
+@query("op6_nearest_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
