@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, chat, decontaminate, html_extract, html_pages, line_dedup, near_dup, neighbours, quality, sharding
+from cohortlens.llm import bpe, chat, decontaminate, html_extract, html_pages, line_dedup, near_dup, neighbours, quality, sharding, token_counts
 from cohortlens.llm.common import table
 
 # Where the public tokenizer files are; any other folder with the same files will do.
@@ -82,3 +82,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_nearest_neighbours")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after three edits made from its own row: its source put in
+    front, forty characters cut from the middle, its language put at the end."""
+    counter = token_counts.Counter.read(
+        str(TOKENIZERS / "byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    length = F.coalesce(F.length("text"), F.lit(0))
+
+    def edit(at, removed, inserted):
+        return F.struct(at.alias("at"), F.lit(removed).alias("removed"), inserted.alias("inserted"))
+
+    edits = F.array(
+        edit(F.lit(0), 0, F.concat(F.coalesce("source", F.lit("")), F.lit(": "))),
+        edit(F.floor(length / 2).cast("int"), 40, F.lit("")),
+        edit(length + 100, 0, F.concat(F.lit(" "), F.coalesce("lang", F.lit("")))),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    return token_counts.recount(docs, counter, keep=["doc_id"], with_text=False)
