@@ -59,9 +59,8 @@ def oversample(t: Tables) -> DataFrame:
 @check("quantile_normal")
 def quantile_normal(t: Tables) -> DataFrame:
     columns = students.SCALED_PERFORMANCE
-    rows = features(t).filter(F.col("semester_index").isNotNull())
     return transforms.quantile_normal(
-        rows.select("emplid", "cohort", "term_code", "plan_cd", *columns), columns
+        features(t).select("emplid", "cohort", "term_code", "plan_cd", *columns), columns
     )
 
 

@@ -227,11 +227,11 @@ def normal_predictor(t: Tables) -> DataFrame:
 
 @check(
     "unseen_items",
-    f"""SELECT DISTINCT item FROM v_thin
-WHERE item NOT IN (SELECT item FROM v_thin WHERE user = {USER})""",
+    f"""SELECT DISTINCT item FROM v_thin_items
+WHERE item NOT IN (SELECT item FROM v_thin_items WHERE user = {USER})""",
 )
 def unseen_items(t: Tables) -> DataFrame:
-    return M.unseen_items(thinned(t), USER)
+    return M.unseen_items(P.min_support(cleaned(t), "item", P.ITEM_SUPPORT), USER)
 
 
 @check(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.checks import views as V
-from cohortlens.checks.registry import check
+from cohortlens.checks.registry import check, part
 from cohortlens.functions import expressions as X
 from cohortlens.operators import encode, rows, stats
 from cohortlens.plans import course, students, term
@@ -60,7 +60,7 @@ def shown(df: DataFrame) -> DataFrame:
     "scan_sql_file",
     """SELECT CAST(o_custkey AS VARCHAR) AS emplid, CAST(year(o_orderdate) AS INT) AS start_year,
   count(*) AS n_courses, sum(l_quantity) AS total_quantity
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 GROUP BY o_custkey, year(o_orderdate)""",
 )
 def scan_sql_file(t: Tables) -> DataFrame:
@@ -155,6 +155,20 @@ def cohort_grades(t: Tables) -> DataFrame:
     return rows.inner_with_cohort(grades, repeated, "emplid", distinct=False)
 
 
+@check(
+    "cohort_grades_distinct",
+    """SELECT p.cohort, e.emplid, e.term_code, e.grade, e.units
+FROM v_enrol e JOIN (SELECT DISTINCT d.emplid, p.cohort FROM v_dae d JOIN v_population p ON p.emplid = d.emplid)
+  p ON p.emplid = e.emplid""",
+)
+def cohort_grades_distinct(t: Tables) -> DataFrame:
+    grades = D.enrolments(t).select("emplid", "term_code", "grade", "units")
+    repeated = (
+        D.population(t).join(D.dae_raw(t).select("emplid"), "emplid").select("emplid", "cohort")
+    )
+    return rows.inner_with_cohort(grades, repeated, "emplid")
+
+
 @check("demographics", "SELECT * FROM v_dem")
 def demographics(t: Tables) -> DataFrame:
     return students.demographics(D.dae_raw(t))
@@ -181,6 +195,33 @@ def student_master(t: Tables) -> DataFrame:
     return master(t)
 
 
+part(
+    "v_gaps",
+    """SELECT DISTINCT p.emplid, p.cohort, p.deg_term - p.cohort AS dem_diff_indx, d.* EXCLUDE (emplid),
+  e.pell_eligibility, a.* EXCLUDE (emplid)
+FROM v_population p LEFT JOIN (SELECT * FROM v_dem WHERE CAST(emplid AS BIGINT) % 7 <> 3) d ON d.emplid = p.emplid
+LEFT JOIN v_pell e ON e.emplid = d.emplid LEFT JOIN v_adm a ON a.emplid = d.emplid""",
+)
+
+
+@check("student_master_gaps", "SELECT * FROM v_gaps")
+def student_master_gaps(t: Tables) -> DataFrame:
+    """With students that have no demographics, and so neither pell status nor scores."""
+    known = D.dae_raw(t).filter(F.col("emplid").cast("bigint") % 7 != 3)
+    return students.student_master(
+        D.population(t),
+        students.demographics(known),
+        D.pell_raw(t),
+        students.admissions(D.admissions_raw(t)),
+    )
+
+
+@check("hs_gpa", "SELECT emplid, gpa_hs, round(gpa_hs / 100.0::DOUBLE, 6) AS hs_points FROM v_adm")
+def hs_gpa(t: Tables) -> DataFrame:
+    scores = students.admissions(D.admissions_raw(t))
+    return scores.select("emplid", "gpa_hs", F.round(X.high_school_gpa("gpa_hs"), 6).alias("hs_points"))
+
+
 @check(
     "student_lookup",
     f"""SELECT emplid, term_code, plan_cd, cum_units_taken, cum_gpa FROM v_gpa

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cohortlens.checks.registry import part
+from cohortlens.functions.labels import INCOME_BANDS
 
 part(
     "v_cohort",
@@ -226,18 +227,7 @@ part(
 FROM v_change""",
 )
 
-INCOME = [
-    (1, "LESS THEN $6000"),
-    (2, "$6,000 TO $11,999"),
-    (3, "$12,000 TO $23,999"),
-    (4, "$24,000 TO $35,999"),
-    (5, "$36,000 TO $47,999"),
-    (6, "$48,000 TO $59,999"),
-    (7, "$60,000 OR MORE"),
-    (8, "CANNOT ESTIMATE"),
-    (9, "NO RESPONSE"),
-]
-BANDS = "CASE {0} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in INCOME) + " END"
+BANDS = "CASE {0} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in INCOME_BANDS.items()) + " END"
 part(
     "v_dae_student",
     """SELECT emplid, min(first_gen) AS first_generation,
@@ -263,7 +253,7 @@ part(
     """SELECT DISTINCT p.emplid, p.cohort, p.deg_term - p.cohort AS dem_diff_indx, d.* EXCLUDE (emplid),
   e.pell_eligibility, a.* EXCLUDE (emplid)
 FROM v_population p LEFT JOIN v_dem d ON d.emplid = p.emplid
-LEFT JOIN v_pell e ON e.emplid = p.emplid LEFT JOIN v_adm a ON a.emplid = p.emplid""",
+LEFT JOIN v_pell e ON e.emplid = d.emplid LEFT JOIN v_adm a ON a.emplid = d.emplid""",
 )
 
 # The labels that occur in the domain views, per encoded column.

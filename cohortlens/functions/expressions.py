@@ -124,3 +124,8 @@ def fold_of(keys: list[str], folds: int, seed: int = 42) -> Column:
 def slug(label: str) -> str:
     """A plain snake_case column name for an encoded label."""
     return re.sub(r"[^0-9a-z]+", "_", label.lower()).strip("_")
+
+
+def high_school_gpa(column: str) -> Column:
+    """The high-school score, kept as hundredths, as grade points."""
+    return F.col(column) / F.lit(100.0)

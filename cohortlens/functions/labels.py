@@ -8,9 +8,6 @@ DFW_GRADES = ["D", "F", "I", "NC", "W", "WE", "WU"]
 # Grades counted per term (all but RD).
 COUNTED_GRADES = ["A", "AU", "B", "C", "CR", "D", "F", "I", "NC", "RP", "W", "WE", "WU"]
 
-# Science departments.
-SCIENCE_DEPARTMENTS = ["PHYS", "MATH", "BIOL", "CHEM"]
-
 # Income band codes.
 INCOME_BANDS = {
     1: "LESS THEN $6000",

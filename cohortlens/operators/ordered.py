@@ -1,7 +1,8 @@
 """Global order without a global sort in one task.
 
 Both operators cut the value range into as many buckets as there are shuffle partitions, add up the
-buckets (a table of that many rows) and finish each bucket on its own.
+buckets (a table of that many rows) and finish each bucket on its own. Cut points are approximate
+quantiles, which may come out differently when they are computed again, so they are pinned before use.
 """
 
 from __future__ import annotations
@@ -24,8 +25,16 @@ def _cuts(order: str, buckets: int) -> Column:
     return quantile_points(order, [i / buckets for i in range(1, buckets)])
 
 
-def _below(cuts: Column, value: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: c < value))
+def below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the sorted ``cuts`` are smaller, by binary search; ``most`` bounds their number."""
+    steps = [1 << i for i in range(max(most, 1).bit_length() - 1, -1, -1)]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: F.when(
+            (at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) < value), at + step
+        ).otherwise(at),
+    )
 
 
 def running_totals(
@@ -36,17 +45,18 @@ def running_totals(
     ``order`` must be numeric and unique within ``by`` (group by it first), and ``by`` must be a small
     set such as column names, folds or splits, because one row of cut points per value is broadcast.
     """
-    by = by or ["_all"]
-    source = df.withColumn("_all", F.lit(0)) if by == ["_all"] else df
+    by = by or []
     buckets = shuffle_partitions(df.sparkSession)
-    cuts = source.groupBy(*by).agg(_cuts(order, buckets).alias("_cuts"))
-    marked = (
-        source.join(F.broadcast(cuts), by)
-        .withColumn("_bucket", _below(F.col("_cuts"), F.col(order)))
-        .drop("_cuts")
-    )
+    cuts = _cuts(order, buckets).alias("_cuts")
+    if by:
+        source = df.join(F.broadcast(cut_lineage(df.groupBy(*by).agg(cuts))), by)
+    else:
+        source = df.withColumn("_cuts", F.lit(df.agg(cuts).first()["_cuts"] or []))
+    marked = source.withColumn("_bucket", below(F.col("_cuts"), F.col(order), buckets)).drop("_cuts")
     totals = marked.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range and ``by``.
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *by,
         "_bucket",
@@ -70,32 +80,53 @@ def ordinal(df: DataFrame, order: str, tie: str, name: str = "ordinal") -> DataF
     """Number all rows 0, 1, 2 ... by (order, tie), both numeric and non-null, ``tie`` unique.
 
     A value shared by many rows becomes a cut point and so a bucket of its own, which is cut again by
-    ``tie``. The input is written first: counting and numbering must see identical rows.
+    ``tie`` into slots, as many as its share of the rows asks for. The input is written first: counting
+    and numbering must see identical rows.
     """
     df = cut_lineage(df)
     buckets = shuffle_partitions(df.sparkSession)
-    cuts = df.agg(_cuts(order, buckets).alias("cuts")).scalar()
-    marked = (
-        df.withColumn("_cuts", cuts)
-        .withColumn("_equal", F.array_contains("_cuts", F.col(order)))
-        .withColumn("_bucket", 2 * _below(F.col("_cuts"), F.col(order)) + F.col("_equal").cast("int"))
+    row = df.agg(_cuts(order, buckets).alias("cuts"), F.count(F.lit(1)).alias("n")).first()
+    cuts = F.lit(row["cuts"] or [])
+    marked = df.withColumn("_rank", below(cuts, F.col(order), buckets)).withColumn(
+        "_equal", F.coalesce(F.get(cuts, F.col("_rank")) == F.col(order), F.lit(False))
     )
-    inner_cuts = (
-        marked.filter("_equal").groupBy("_bucket").agg(_cuts(tie, buckets).alias("_inner"))
+    marked = marked.withColumn("_bucket", 2 * F.col("_rank") + F.col("_equal").cast("int"))
+    # The slots of all heavy values together are at most twice the buckets, and so are their cuts.
+    slots = F.ceil(F.col("_n") * buckets / F.lit(max(row["n"], 1))).cast("int")
+    inner = (
+        marked.filter("_equal")
+        .groupBy("_bucket")
+        .agg(_cuts(tie, buckets).alias("_every"), F.count(F.lit(1)).alias("_n"))
+        .withColumn("_slots", slots)
+        .select(
+            "_bucket",
+            F.when(
+                F.col("_slots") > 1,
+                F.transform(
+                    F.sequence(F.lit(1), F.col("_slots") - 1),
+                    lambda i: F.get("_every", F.floor(i * buckets / F.col("_slots")).cast("int") - 1),
+                ),
+            )
+            .otherwise(F.array().cast("array<bigint>"))
+            .alias("_inner"),
+        )
     )
-    placed = marked.join(F.broadcast(inner_cuts), "_bucket", "left").withColumn(
-        "_slot", F.when(F.col("_equal"), _below(F.col("_inner"), F.col(tie))).otherwise(0)
+    placed = marked.join(F.broadcast(cut_lineage(inner)), "_bucket", "left").withColumn(
+        "_slot", F.when(F.col("_equal"), below(F.col("_inner"), F.col(tie), buckets)).otherwise(0)
     )
-    place = ["_bucket", "_slot"]
-    earlier = (
-        Window.partitionBy(F.lit(0)).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_bucket", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    before = (Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(*before)
+    wholes = counts.groupBy("_bucket").agg(F.sum("_n").alias("_n")).select(
+        "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_whole")
     )
-    offsets = (
-        placed.groupBy(*place)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*place, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_bucket").orderBy("_slot").rowsBetween(*before)
+    parts = counts.select(
+        "_bucket", "_slot", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_part")
     )
-    inside = Window.partitionBy(*place).orderBy(order, tie)
-    return placed.join(F.broadcast(offsets), place).select(
-        *df.columns, (F.col("_offset") + F.row_number().over(inside) - 1).alias(name)
+    offsets = parts.join(F.broadcast(wholes), "_bucket")
+    within = Window.partitionBy("_bucket", "_slot").orderBy(order, tie)
+    return placed.join(offsets, ["_bucket", "_slot"]).select(
+        *df.columns,
+        (F.col("_whole") + F.col("_part") + F.row_number().over(within) - 1).alias(name),
     )

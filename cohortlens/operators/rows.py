@@ -10,11 +10,6 @@ def upper_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.upper() for c in df.columns])
 
 
-def prefix_names(df: DataFrame, prefix: str, columns: list[str] | None = None) -> DataFrame:
-    chosen = df.columns if columns is None else columns
-    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in chosen})
-
-
 def column_slice(df: DataFrame, start: int, stop: int | None = None) -> DataFrame:
     return df.select(*df.columns[start:stop])
 
@@ -77,7 +72,3 @@ def inner_with_cohort(
     return grades.join(side, key).select(
         *[c for c in side.columns if c != key], key, *others
     )
-
-
-def not_in(candidates: DataFrame, taken: DataFrame, on: str | list[str]) -> DataFrame:
-    return candidates.join(taken, on, "left_anti")

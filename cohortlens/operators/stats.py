@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,19 +124,43 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def corr_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair (lower triangle), pairwise complete, in one pass."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(
-        *[rounded(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias(f"c{i}")
-          for i, (a, b) in enumerate(pairs)]
+    """Pearson correlation of every column pair (lower triangle), pairwise complete.
+
+    Rows become (pair, a, b) batch by batch only as per-partition moments, so one small row per pair and
+    task is shuffled, and the number of pairs is no matter of plan size. Values are shifted by one known row
+    of figures, which keeps the sums of squares well away from cancellation.
+    """
+    shift = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    centre = np.array([float(shift[c] or 0.0) for c in columns])
+    pairs = list(combinations(range(len(columns)), 2))
+    first, second = (np.array([p[i] for p in pairs], int) for i in (0, 1))
+
+    def moments(frames):
+        total = np.zeros((6, len(columns), len(columns)))
+        for frame in frames:
+            x = frame.to_numpy(dtype=float) - centre
+            here = ~np.isnan(x)
+            x, h = np.where(here, x, 0.0), here.astype(float)
+            total += [h.T @ h, x.T @ h, h.T @ x, (x * x).T @ h, h.T @ (x * x), x.T @ x]
+        cells = total[:, first, second]
+        yield pd.DataFrame({"pair": np.arange(len(pairs)), **{f"m{i}": cells[i] for i in range(6)}})
+
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    schema = "pair int, " + ", ".join(f"m{i} double" for i in range(6))
+    sums = numbers.mapInPandas(moments, schema).groupBy("pair").agg(
+        *[F.sum(f"m{i}").alias(f"m{i}") for i in range(6)]
+    )
+    n, x, y, xx, yy, xy = (F.col(f"m{i}") for i in range(6))
+    spread_x, spread_y = xx - x * x / n, yy - y * y / n
+    flat = (n < 2) | (spread_x <= xx * 1e-14) | (spread_y <= yy * 1e-14)
+    value = F.when(~flat, (xy - x * y / n) / F.sqrt(spread_x * spread_y))
+    names = F.array(*[F.lit(c) for c in columns])
+    which = lambda index: F.get(
+        names, F.get(F.lit([int(i) for i in index]), F.col("pair"))
+    )
+    return sums.select(
+        which(second).alias("column_a"), which(first).alias("column_b"), rounded(value).alias("corr")
     )
-    rows = [
-        F.struct(
-            F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), F.col(f"c{i}").alias("corr")
-        )
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def histogram(df: DataFrame, column: str, width: float, start: float = 0.0) -> DataFrame:

@@ -78,9 +78,12 @@ def seq_data(
 ) -> DataFrame:
     """Rows known by semester ``t`` as (cohort, emplid, is_dev, label, fold, features).
 
-    With ``balance`` the training part also holds synthetic minority rows, which carry no student.
+    Incomplete rows leave the training part only. An incomplete dev row stays and makes the assembling
+    fail, because accuracy over the complete ones alone would be another figure; ``incomplete_dev`` lists
+    such rows. With ``balance`` the training part also holds synthetic minority rows, without a student.
     """
-    rows = chunk(features, t, encoding).na.drop("any", subset=columns)
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    rows = chunk(features, t, encoding).filter(F.col("is_dev") | whole)
     label = F.col(response(years)).cast("int").alias("label")
     real = rows.select("cohort", "emplid", "is_dev", label, *columns)
     if balance:
@@ -102,6 +105,17 @@ def seq_data(
     )
 
 
+def incomplete_dev(
+    features: DataFrame, t: int, columns: list[str], encoding=DEMOGRAPHIC_ENCODING
+) -> DataFrame:
+    """Dev rows known by semester ``t`` that lack a feature: (emplid, cohort, missing), by name."""
+    missing = F.filter(
+        F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]), lambda c: c.isNotNull()
+    )
+    rows = chunk(features, t, encoding).filter("is_dev")
+    return rows.select("emplid", "cohort", missing.alias("missing")).filter(F.size("missing") > 0)
+
+
 def logistic(rows: int, inverse_penalty: float = 1.0, **options) -> LogisticRegression:
     """L2 logistic regression; the summed-loss penalty 1/C becomes 1/(C n) for the mean loss."""
     return LogisticRegression(

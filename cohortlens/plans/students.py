@@ -120,19 +120,23 @@ def admissions(raw: DataFrame) -> DataFrame:
 def student_master(
     population: DataFrame, demographic: DataFrame, pell: DataFrame, admission: DataFrame
 ) -> DataFrame:
-    """Population with every known attribute. One student key throughout, so one shuffle per input;
-    the final distinct reuses that partitioning."""
+    """Population with every known attribute.
+
+    Pell status and test scores hang on the demographics key: a student without demographics has neither.
+    """
+    known = demographic.withColumn("dae_emplid", F.col("emplid"))
+    awards = pell.filter(F.col("emplid").isNotNull()).select(
+        F.col("emplid").alias("dae_emplid"), F.col("elig").alias("pell_eligibility")
+    )
+    scores = admission.withColumnRenamed("emplid", "dae_emplid")
     return (
         population.select(
             "emplid", "cohort", (F.col("deg_term") - F.col("cohort")).alias("dem_diff_indx")
         )
-        .join(demographic, "emplid", "left")
-        .join(
-            pell.filter(F.col("emplid").isNotNull()).withColumnRenamed("elig", "pell_eligibility"),
-            "emplid",
-            "left",
-        )
-        .join(admission, "emplid", "left")
+        .join(known, "emplid", "left")
+        .join(awards, "dae_emplid", "left")
+        .join(scores, "dae_emplid", "left")
+        .drop("dae_emplid")
         .distinct()
     )
 

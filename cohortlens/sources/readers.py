@@ -4,29 +4,10 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BOOKS_SCHEMA = T.StructType(
-    [
-        T.StructField("ISBN", T.StringType()),
-        T.StructField("bookTitle", T.StringType()),
-        T.StructField("bookAuthor", T.StringType()),
-        T.StructField("yearOfPublication", T.IntegerType()),
-        T.StructField("publisher", T.StringType()),
-        T.StructField("imageUrlS", T.StringType()),
-        T.StructField("imageUrlM", T.StringType()),
-        T.StructField("imageUrlL", T.StringType()),
-    ]
-)
-USERS_SCHEMA = T.StructType(
-    [
-        T.StructField("userID", T.IntegerType()),
-        T.StructField("Location", T.StringType()),
-        T.StructField("Age", T.DoubleType()),
-    ]
-)
 RATINGS_SCHEMA = T.StructType(
     [
         T.StructField("userID", T.IntegerType()),
@@ -49,18 +30,6 @@ class Tables:
         return frame
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash rows over all cores when a table fits into one input split and so into one task.
-
-    A larger table is left as it was read: its splits already occupy the cluster, and shuffling it
-    would cost more than it gains.
-    """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(key) if size <= split else df
-
-
 def read_jdbc(
     spark: SparkSession,
     url: str,
@@ -109,26 +78,37 @@ def read_delimited(
     sep: str = ";",
     encoding: str = "ISO-8859-1",
 ) -> DataFrame:
-    """Delimited text with a header; lines with another number of fields are skipped.
+    """Delimited text with a header. Lines with too few fields are filled up with nulls; only lines with
+    too many are skipped, whatever the surplus fields hold.
 
     All fields are read as text and cast afterwards, and column pruning is off, so which lines are
-    skipped does not depend on the columns a query selects. A field that does not parse is null.
+    skipped does not depend on the columns a query selects. An empty field is null, a quoted empty one is
+    the empty text, and a field that does not parse is null.
     """
+    surplus, missing, quoted = "_surplus", "\x00", "\x01"
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     lines = (
-        spark.read.schema(text)
+        spark.read.schema(text.add(surplus, T.StringType()))
         .options(
             sep=sep,
             encoding=encoding,
-            mode="DROPMALFORMED",
+            mode="PERMISSIVE",
             quote='"',
             escape="\\",
             header="true",
             columnPruning="false",
+            # Markers, so that a surplus field that is empty still differs from one that is not there.
+            nullValue=missing,
+            emptyValue=quoted,
         )
         .csv(path)
+        .filter(F.col(surplus).isNull())
     )
-    frame = lines.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
+    value = {
+        f.name: F.when(F.col(f.name) == quoted, "").otherwise(F.nullif(F.col(f.name), F.lit("")))
+        for f in schema
+    }
+    frame = lines.select(*[value[f.name].try_cast(f.dataType).alias(f.name) for f in schema])
     return frame.toDF(*names) if names else frame
 
 
@@ -139,11 +119,13 @@ def write_delimited(df: DataFrame, path: str, sep: str = ";", encoding: str = "I
     return path
 
 
-def ratings_dataset(
-    df: DataFrame, user: str, item: str, rating: str, scale: tuple[int, int] = (1, 10)
-) -> DataFrame:
-    """Triples (user, item, rating) within the rating scale."""
-    value: Column = F.col(rating)
+def ratings_dataset(df: DataFrame, user: str, item: str, rating: str) -> DataFrame:
+    """Triples (user, item, rating). Every row is kept; ``outside_scale`` reports odd ratings."""
     return df.select(
-        F.col(user).alias("user"), F.col(item).alias("item"), value.alias("rating")
-    ).filter(F.col("rating").between(*scale))
+        F.col(user).alias("user"), F.col(item).alias("item"), F.col(rating).alias("rating")
+    )
+
+
+def outside_scale(ratings: DataFrame, scale: tuple[int, int] = (1, 10)) -> DataFrame:
+    """The rows whose rating is missing or not on the declared scale."""
+    return ratings.filter(~F.coalesce(F.col("rating").between(*scale), F.lit(False)))

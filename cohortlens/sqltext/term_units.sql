@@ -4,5 +4,4 @@ SELECT CAST(o.o_custkey AS STRING)   AS emplid,
        sum(l.l_quantity)             AS total_quantity
 FROM course_orders o
 JOIN course_lines l ON l.l_orderkey = o.o_orderkey
-WHERE o.o_orderstatus = 'F'
 GROUP BY o.o_custkey, year(o.o_orderdate)

@@ -48,11 +48,9 @@ def test_one_hot_of_null_and_odd_labels(spark):
     assert encode.export_names(encoding) == {"p_it_s": "P_it's", "p_6_000": "P_$6,000"}
 
 
-def test_discover_categories_refuses_ids(spark):
-    df = spark.range(20).withColumnRenamed("id", "x")
-    assert encode.discover_categories(df, "x") == list(range(20))
-    with pytest.raises(ValueError):
-        encode.discover_categories(df, "x", most=5)
+def test_categories_have_no_cap(spark):
+    df = spark.range(5000).selectExpr("id % 2500 AS x").unionAll(spark.sql("SELECT NULL AS x"))
+    assert encode.categories(df, "x").count() == 2500
 
 
 def test_complete_rows_drop_nan_and_infinity(spark):
