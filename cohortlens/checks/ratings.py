@@ -189,22 +189,22 @@ def best_worst(t: Tables) -> DataFrame:
     return P.best_worst(cut_lineage(_errors(t)))
 
 
-@check(
-    "knn_predict",
-    """WITH sim AS MATERIALIZED (
-  SELECT a.user AS u, b.user AS v, 1.0::DOUBLE / (CAST(sum((a.rating - b.rating) * (a.rating - b.rating))
+_KNN = """WITH sim AS MATERIALIZED (
+  SELECT a.{a} AS u, b.{a} AS v, 1.0::DOUBLE / (CAST(sum((a.rating - b.rating) * (a.rating - b.rating))
     AS DOUBLE) / count(*) + 1.0) AS sim
-  FROM w_train a JOIN w_train b ON a.item = b.item AND a.user <> b.user GROUP BY 1, 2),
-near AS (SELECT *, row_number() OVER (PARTITION BY user, item ORDER BY sim DESC, v) AS rank FROM (
-  SELECT t.user, t.item, s.v, s.sim, r.rating, r.rating - r.base AS resid
-  FROM w_test t JOIN w_base r ON r.item = t.item AND NOT r.is_test JOIN sim s ON s.u = t.user AND s.v = r.user)),
-mean AS (SELECT user, item, sum(sim * rating) / sum(sim) AS m, sum(sim * resid) / sum(sim) AS d,
+  FROM w_train a JOIN w_train b ON a.{b} = b.{b} AND a.{a} <> b.{a} GROUP BY 1, 2),
+near AS (SELECT *, row_number() OVER (PARTITION BY {a}, {b} ORDER BY sim DESC, v) AS rank FROM (
+  SELECT t.{a}, t.{b}, s.v, s.sim, r.rating, r.rating - r.base AS resid
+  FROM w_test t JOIN w_base r ON r.{b} = t.{b} AND NOT r.is_test JOIN sim s ON s.u = t.{a} AND s.v = r.{a})),
+mean AS (SELECT {a}, {b}, sum(sim * rating) / sum(sim) AS m, sum(sim * resid) / sum(sim) AS d,
   count(*) AS n FROM near WHERE rank <= 40 GROUP BY 1, 2)
-SELECT b.user, b.item, b.rating, coalesce(n, 0) AS n_neighbours,
+SELECT b.{a}, b.{b}, b.rating, coalesce(n, 0) AS n_neighbours,
   round(greatest(least(coalesce(m, mean), 10.0), 1.0), 6) AS est_basic,
   round(greatest(least(base + coalesce(d, 0.0), 10.0), 1.0), 6) AS est_baseline
-FROM w_base b LEFT JOIN mean k ON k.user = b.user AND k.item = b.item WHERE b.is_test""",
-)
+FROM w_base b LEFT JOIN mean k ON k.{a} = b.{a} AND k.{b} = b.{b} WHERE b.is_test"""
+
+
+@check("knn_predict", _KNN.format(a="user", b="item"))
 def knn_predict(t: Tables) -> DataFrame:
     found = M.knn_predict(*held_out(t))
     return found.drop("fold").withColumns(
@@ -212,6 +212,33 @@ def knn_predict(t: Tables) -> DataFrame:
     )
 
 
+@check("knn_item", _KNN.format(a="item", b="user"))
+def knn_item(t: Tables) -> DataFrame:
+    found = M.knn_predict_items(*held_out(t))
+    return found.drop("fold").withColumns(
+        {c: X.rounded(c) for c in ("est_basic", "est_baseline")}
+    )
+
+
+@check(
+    "topk_personal",
+    f"""WITH sim AS MATERIALIZED (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY sim DESC, rated) AS rank FROM (
+    SELECT a.item, b.item AS rated, 1.0::DOUBLE / (CAST(sum((a.rating - b.rating) * (a.rating - b.rating))
+      AS DOUBLE) / count(*) + 1.0) AS sim
+    FROM v_thin a JOIN v_thin b ON a.user = b.user AND a.item <> b.item GROUP BY 1, 2))
+  WHERE rank <= {M.NEIGHBOURS}),
+scored AS (SELECT r.user, s.item, round(sum(s.sim * r.rating) / sum(s.sim), 6) AS est, count(*) AS n_neighbours
+  FROM v_thin r JOIN sim s ON s.rated = r.item GROUP BY 1, 2)
+SELECT user, item, est, n_neighbours, CAST(position AS INT) AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY user ORDER BY est DESC, n_neighbours DESC, item) AS position
+  FROM scored s WHERE NOT EXISTS (SELECT 1 FROM v_thin t WHERE t.user = s.user AND t.item = s.item))
+WHERE position <= 10""",
+)
+def topk_personal(t: Tables) -> DataFrame:
+    return M.personal_top(cut_lineage(thinned(t)), 10)
+
+
 @check(
     "normal_predictor",
     """SELECT user, item, rating, round(greatest(least(mean + spread * sqrt(-2 * ln(a)) *
@@ -238,7 +265,7 @@ def unseen_items(t: Tables) -> DataFrame:
     "topk_recs",
     f"""SELECT user, item, round(score, 6) AS score, CAST(row_number() OVER
     (PARTITION BY user ORDER BY score DESC, item) AS INT) AS position
-FROM (SELECT DISTINCT user FROM w_train) u,
+FROM (SELECT DISTINCT user FROM v_clean) u,
   (SELECT item, round(b_item, 9) AS score FROM w_item{_LAST}) i
 WHERE (user, item) NOT IN (SELECT (user, item) FROM w_train)
 QUALIFY position <= 10""",
@@ -247,7 +274,7 @@ def topk_recs(t: Tables) -> DataFrame:
     train, _ = held_out(t)
     _, by_item = M.bias_baseline(train)
     scores = by_item.select("item", F.round("b_item", 9).alias("score"))
-    found = M.top_unseen(train, scores, 10)
+    found = M.top_unseen(train, scores, 10, cleaned(t).select("user"))
     return found.withColumn("score", X.rounded("score"))
 
 

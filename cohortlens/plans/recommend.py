@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.expressions import hash_uniform
-from cohortlens.operators.neighbours import rater_neighbours
+from cohortlens.operators.neighbours import rater_neighbours, similar_entities
 from cohortlens.operators.ordered import ordinal
 from cohortlens.plans.ratings import folded, rmse
 from cohortlens.session import checkpoint_root, cut_lineage
@@ -365,9 +365,59 @@ def unseen_items(ratings: DataFrame, user) -> DataFrame:
     )
 
 
-def top_unseen(ratings: DataFrame, item_scores: DataFrame, k: int = 10) -> DataFrame:
+def knn_predict_items(
+    train: DataFrame,
+    test: DataFrame,
+    biases: tuple[DataFrame, DataFrame] | None = None,
+    k: int = NEIGHBOURS,
+    measure: str = "msd",
+) -> DataFrame:
+    """``knn_predict`` over the most similar items that the user has rated: users and items change places."""
+
+    other = {"user": "item", "item": "user"}
+
+    def swap(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(c).alias(other.get(c, c)) for c in rows.columns])
+
+    by_user, by_item = biases or bias_baseline(train)
+    turned = (
+        by_item.withColumnsRenamed({"item": "user", "b_item": "b_user"}),
+        by_user.withColumnsRenamed({"user": "item", "b_user": "b_item"}),
+    )
+    return swap(knn_predict(swap(train), swap(test), turned, k, measure))
+
+
+def personal_top(
+    ratings: DataFrame, k: int = 10, near: int = NEIGHBOURS, measure: str = "msd"
+) -> DataFrame:
+    """Each user's ``k`` best unseen items: (user, item, est, n_neighbours, position).
+
+    Items are reached from a user's ratings through the ``near`` most similar items of every item, so
+    there are ratings x ``near`` rows at most and no user x item product. The estimate is the
+    similarity-weighted mean of the user's ratings of the neighbours; ties go to more neighbours, then to
+    the smaller item.
+    """
+    links = similar_entities(ratings, "item", "user", "rating", near, measure).select(
+        F.col("entity").alias("item"), F.col("neighbour").alias("rated"), "sim"
+    )
+    reached = ratings.select("user", F.col("item").alias("rated"), "rating").join(links, "rated")
+    scored = reached.groupBy("user", "item").agg(
+        F.round(F.sum(F.col("sim") * F.col("rating")) / F.sum("sim"), 6).alias("est"),
+        F.count(F.lit(1)).alias("n_neighbours"),
+    )
+    unseen = scored.join(ratings.select("user", "item"), ["user", "item"], "left_anti")
+    order = Window.partitionBy("user").orderBy(F.desc("est"), F.desc("n_neighbours"), "item")
+    return unseen.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+
+
+def top_unseen(
+    ratings: DataFrame, item_scores: DataFrame, k: int = 10, users: DataFrame | None = None
+) -> DataFrame:
     """For every user the ``k`` best-scored items not rated yet: (user, item, score, position).
 
+    ``users`` lists the users (column ``user``); without it, those of ``ratings``. A user without ratings
+    gets the first ``k``.
+
     Items are numbered by score once. A user's k-th unseen item then sits at rank k - 1 + m, where m
     counts the rated items ranked below it, so only ``k + m`` ranks per user are listed and the rated
     ones removed: no user x item product. Ranks are counted in slices, so that a user with very many
@@ -394,16 +444,23 @@ def top_unseen(ratings: DataFrame, item_scores: DataFrame, k: int = 10) -> DataF
     )
     inside = Window.partitionBy("user", "slice").orderBy("rank")
     rated_below = F.col("before") + F.row_number().over(inside) - 1
-    depth = (
+    found = (
         seen.join(slices, ["user", "slice"])
         .withColumn("unseen_below", F.col("rank") - rated_below)
         .groupBy("user")
         .agg(F.count_if(F.col("unseen_below") < k).alias("m"))
     )
+    everybody = (ratings if users is None else users).select("user").distinct()
+    depth = everybody.join(found, "user", "left").withColumn("m", F.coalesce("m", F.lit(0)))
     last = ranked.agg(F.max("rank").alias("last")).scalar()
+    # Listed slice by slice, so that no row carries an array of all ranks of a heavy user.
+    zero, per = F.lit(0).cast("bigint"), F.lit(RANKS_PER_SLICE).cast("bigint")
+    first = F.col("slice") * per
     listed = (
         depth.withColumn("upto", F.least(F.col("m") + k - 1, last))
-        .select("user", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("upto"))).alias("rank"))
+        .filter(F.col("upto") >= 0)
+        .select("user", "upto", F.explode(F.sequence(zero, F.floor(F.col("upto") / per))).alias("slice"))
+        .select("user", F.explode(F.sequence(first, F.least("upto", first + per - 1))).alias("rank"))
         .join(seen.select("user", "rank"), ["user", "rank"], "left_anti")
     )
     order = Window.partitionBy("user").orderBy("rank")
