@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from cohortlens.checks import views as V
 from cohortlens.checks.registry import check
 from cohortlens.checks.student import features
+from cohortlens.operators.encode import encoded_names
+from cohortlens.plans import evaluation as E
 from cohortlens.plans import models as M
+from cohortlens.plans import penalty_path as P
 from cohortlens.plans import sampling, students, transforms
 from cohortlens.sources.readers import Tables
 
@@ -17,6 +20,7 @@ SEMESTER = 3
 SETS = M.feature_sets(V.ENCODING)
 FULL = SETS["full"]
 HISTORY = SETS["history"]
+DEMOGRAPHIC = {*encoded_names(V.ENCODING), "gpa_hs", "t_comp", "t_read", "t_math"}
 KEYS = ["emplid", "cohort", "term_code", "plan_cd", "gendr_m"]
 
 
@@ -76,34 +80,57 @@ def logistic_balanced(t: Tables) -> DataFrame:
     return M.evaluate("logistic", M.logistic(M.train_part(rows).count()), rows, len(FULL))[1]
 
 
+# The grids and rounds of the covered models.
+TREE_GRID = {"featureSubsetStrategy": ["3", "9", "15", "21"], "maxDepth": [3, 5, 7]}
+FOREST_GRID = {"featureSubsetStrategy": ["1", "sqrt"]}
+MIXES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+
+
 @check("tree_t")
 def tree_t(t: Tables) -> DataFrame:
-    return judged(t, "tree", M.cross_validated(M.tree(labelCol="label"), {"maxDepth": [3, 6]}))
+    return judged(t, "tree", M.cross_validated(M.feature_tree(labelCol="label"), TREE_GRID))
 
 
 @check("forest_t")
 def forest_t(t: Tables) -> DataFrame:
-    return judged(t, "forest", M.forest(30, maxDepth=6))
+    return judged(t, "forest", M.cross_validated(M.forest(100, maxDepth=10), FOREST_GRID))
 
 
 @check("gbt_t")
 def gbt_t(t: Tables) -> DataFrame:
-    return judged(t, "gbt", M.boosted(10, depth=6, step=0.6))
+    return judged(t, "gbt", M.boosted(20, depth=6, step=0.6))
+
+
+@check("gbt_shallow")
+def gbt_shallow(t: Tables) -> DataFrame:
+    return judged(t, "gbt_shallow", M.boosted(100, depth=3, step=0.1))
 
 
 @check("gbt_rounds")
 def gbt_rounds(t: Tables) -> DataFrame:
-    return M.boosting_rounds(data(t), trees=5)
+    return M.boosting_rounds(data(t), trees=20)
 
 
 @check("elastic_net")
 def elastic_net(t: Tables) -> DataFrame:
-    return judged(t, "elastic_net", M.elastic_net(10, [0.001, 0.01], [0.5]), cut=0.6)
+    """The metrics of the chosen fit with the chosen mix and penalty."""
+    best, predictions = M.elastic_net(data(t), len(FULL), MIXES)
+    return M.judge(predictions).select(
+        F.lit(best["mix"]).alias("mix"), F.lit(best["penalty"]).alias("penalty"), "*"
+    )
+
+
+@check("elastic_net_optimality", "SELECT TRUE AS optimal")
+def elastic_net_optimality(t: Tables) -> DataFrame:
+    """Whether the chosen fit meets the optimality conditions of its own problem on the training rows."""
+    best, _ = M.elastic_net(data(t), len(FULL), MIXES)
+    optimal = P.optimal(best["sums"], best["coef"], best["penalty"], best["mix"], scale=True)
+    return t.spark.createDataFrame([(bool(optimal),)], "optimal boolean")
 
 
 @check("mlp_t")
 def mlp_t(t: Tables) -> DataFrame:
-    return judged(t, "mlp", M.perceptron(len(FULL), rounds=20))
+    return judged(t, "mlp", M.perceptron(len(FULL)))
 
 
 @check("cv_score")
@@ -123,6 +150,24 @@ def evaluate(t: Tables) -> DataFrame:
     )
 
 
+def _tree_predictions(t: Tables) -> DataFrame:
+    rows = data(t, HISTORY)
+    model = M.tree(maxDepth=5).fit(M.train_part(rows))
+    return M.predict(model, rows)
+
+
+@check("evaluate_predictions")
+def evaluate_predictions(t: Tables) -> DataFrame:
+    """Every student's score and prediction."""
+    return _tree_predictions(t)
+
+
+@check("evaluate_classes")
+def evaluate_classes(t: Tables) -> DataFrame:
+    """The report by class of the dev part."""
+    return E.class_report(_tree_predictions(t).filter("is_dev"))
+
+
 @check("coef_ranking")
 def coef_ranking(t: Tables) -> DataFrame:
     rows = data(t, HISTORY)
@@ -137,7 +182,8 @@ def lasso_select(t: Tables) -> DataFrame:
 
 @check("accuracy_by_semester")
 def accuracy_by_semester(t: Tables) -> DataFrame:
+    """All demographic columns at the start, the full list later, with balanced training rows."""
     table = M.held(features(t))
-    static = ["gpa_hs", "gendr_m", "urm_minority", "pell_traditional"]
-    steps = {0: static, 1: HISTORY, 2: HISTORY, 3: HISTORY, 4: HISTORY}
-    return M.accuracy_by_semester(table, list(steps), YEARS, steps, V.ENCODING)
+    static = [c for c in FULL if c in DEMOGRAPHIC]
+    steps = {0: static, 1: FULL, 2: FULL, 3: FULL, 4: FULL}
+    return M.accuracy_by_semester(table, list(steps), YEARS, steps, V.ENCODING, balance=True)

@@ -280,12 +280,12 @@ def topk_recs(t: Tables) -> DataFrame:
 
 @check("als_rmse")
 def als_rmse(t: Tables) -> DataFrame:
-    return P.rmse(M.als_predict(*held_out(t)))
+    return P.rmse(M.als_predict(*held_out(t), rounds=20))
 
 
 @check("als_grid")
 def als_grid(t: Tables) -> DataFrame:
-    return M.als_grid(cut_lineage(thinned(t)), [5, 10], [0.02, 0.5], [10], FOLDS)
+    return M.als_grid(cut_lineage(thinned(t)), [20, 30], [0.02, 0.5], [10, 20], FOLDS)
 
 
 @check("co_cluster")

@@ -18,7 +18,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +33,7 @@ from cohortlens.plans.evaluation import (
     threshold,
     with_gain,
 )
+from cohortlens.plans.penalty_path import select
 from cohortlens.plans.sampling import smote
 from cohortlens.plans.students import chunk
 
@@ -127,8 +128,14 @@ def tree(**options) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(seed=42, **options)
 
 
+def feature_tree(**options) -> RandomForestClassifier:
+    """A tree that sees so many features at each split: a forest of one tree over all rows."""
+    return RandomForestClassifier(numTrees=1, bootstrap=False, seed=42, **options)
+
+
 def forest(trees: int = 100, **options) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=42, **options)
+    options = {"featureSubsetStrategy": "sqrt", **options}
+    return RandomForestClassifier(numTrees=trees, seed=42, **options)
 
 
 def boosted(trees: int = 100, depth: int = 3, step: float = 0.1) -> GBTClassifier:
@@ -181,19 +188,30 @@ def predict(model: Model, data: DataFrame, cut: float = 0.5) -> DataFrame:
     return rows.withColumn("prediction", threshold("score", cut))
 
 
-def evaluate(
-    name: str, estimator: Estimator, data: DataFrame, n_features: int, cut: float = 0.5
-) -> tuple[Model, DataFrame]:
-    """Fit on the training part; metrics of both parts as one row, with sizes and the fit time."""
-    started = time.time()
-    model = estimator.fit(train_part(data))
-    seconds = time.time() - started
-    predictions = held(predict(model, data, cut))
+def chosen_parameters(model: Model) -> str:
+    """The parameters a grid search settled on, or those set by the caller, as ``name=value`` by name."""
+    fitted = model
+    names = set()
+    if isinstance(model, CrossValidatorModel):
+        names = {p.name for choice in model.getEstimatorParamMaps() for p in choice}
+        fitted = model.bestModel
+    else:
+        names = {p.name for p in fitted.params if fitted.isSet(p)}
+    values = {p.name: fitted.getOrDefault(p) for p in fitted.params if p.name in names and fitted.isDefined(p)}
+    return ", ".join(f"{k}={v}" for k, v in sorted(values.items()))
+
+
+def judge(predictions: DataFrame) -> DataFrame:
+    """One row: counts of the confusion matrix and metrics of the dev and the train part."""
     cells = confusion_cells(predictions, ["is_dev"])
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     judged = (
         cells.select(
             "is_dev",
+            "tp",
+            "fp",
+            "fn",
+            "tn",
             (tp + fp + fn + tn).alias("n"),
             ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
             ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
@@ -203,16 +221,30 @@ def evaluate(
         .join(F.broadcast(roc_auc(predictions, by=["is_dev"])), "is_dev", "left")
         .join(F.broadcast(roc_on_labels(predictions, by=["is_dev"])), "is_dev", "left")
     )
-    metrics = ["n", "accuracy", "f1", "precision", "recall", "roc_auc", "roc_on_labels"]
-    figures = judged.agg(
+    metrics = "n tp fp fn tn accuracy f1 precision recall roc_auc roc_on_labels".split()
+    return judged.agg(
         *[
             F.max(F.when(F.col("is_dev") == dev, F.col(m))).alias(f"{side}_{m}")
             for side, dev in (("dev", True), ("train", False))
             for m in metrics
         ]
-    ).select(
-        F.lit(name).alias("model"), F.lit(n_features).alias("n_features"), "*",
-        F.lit(seconds).alias("fit_seconds"),
+    )
+
+
+def evaluate(
+    name: str, estimator: Estimator, data: DataFrame, n_features: int, cut: float = 0.5
+) -> tuple[Model, DataFrame]:
+    """Fit on the training part; chosen parameters, confusion counts and metrics of both parts as one row.
+
+    ``predict(model, data)`` gives the predictions by student and ``class_report`` their report by class.
+    """
+    started = time.time()
+    model = estimator.fit(train_part(data))
+    seconds = time.time() - started
+    predictions = held(predict(model, data, cut))
+    figures = judge(predictions).select(
+        F.lit(name).alias("model"), F.lit(n_features).alias("n_features"),
+        F.lit(chosen_parameters(model)).alias("parameters"), "*", F.lit(seconds).alias("fit_seconds"),
     )
     row = data.sparkSession.createDataFrame([figures.first()], figures.schema)
     predictions.unpersist()
@@ -221,14 +253,15 @@ def evaluate(
 
 def accuracy_by_semester(
     features: DataFrame, steps: list[int], years: float, columns: dict[int, list[str]] | list[str],
-    encoding=DEMOGRAPHIC_ENCODING,
+    encoding=DEMOGRAPHIC_ENCODING, balance: bool = False,
 ) -> DataFrame:
     """Dev and train accuracy of the logistic model per semester, with the gain of each step."""
     rows = []
     for t in steps:
         chosen = columns[t] if isinstance(columns, dict) else columns
-        data = held(seq_data(features, t, years, chosen, encoding=encoding))
+        data = held(seq_data(features, t, years, chosen, balance, encoding))
         _, row = evaluate(f"t{t}", logistic(train_part(data).count()), data, len(chosen))
+        data.unpersist()
         rows.append(row.select(F.lit(t).alias("t"), "dev_accuracy", "train_accuracy"))
     return with_gain(reduce(DataFrame.unionByName, rows))
 
@@ -240,41 +273,28 @@ def coefficients(model: Model, columns: list[str]) -> DataFrame:
     return spark.createDataFrame(values, "feature string, coef double")
 
 
-def penalty_path(data: DataFrame, columns: list[str], steps: int = 8, span: float = 1e-3) -> list[float]:
-    """Log-spaced penalties below the one that zeroes every coefficient."""
-    values = vector_to_array("features")
-    row = data.select("label", values.alias("v")).agg(
-        *[F.abs(F.covar_pop(F.col("v")[i], F.col("label").cast("double"))) for i in range(len(columns))]
-    ).first()
-    top = max(float(v or 0.0) for v in row) or 1.0
-    return [top * span ** (i / (steps - 1)) for i in range(steps)]
-
-
-def lasso_select(data: DataFrame, columns: list[str], folds: int = 10) -> DataFrame:
-    """Cross-validated lasso: (feature, coef, selected, penalty), selected = non-zero coefficient."""
-    train = train_part(data)
-    search = cross_validated(
-        LinearRegression(labelCol="label", elasticNetParam=1.0, standardization=False),
-        {"regParam": penalty_path(train, columns)},
-        folds,
-        "rmse",
-    )
-    best = search.fit(train).bestModel
-    return coefficients(best, columns).withColumns(
-        {
-            "selected": F.abs("coef") > 1e-5,
-            "penalty": F.lit(float(best.getOrDefault(best.regParam))),
-        }
+def lasso_select(data: DataFrame, columns: list[str], steps: int = 100) -> DataFrame:
+    """Cross-validated lasso: (feature, coef, selected, penalty), selected = non-zero coefficient.
+
+    The whole path of ``steps`` penalties is tried on every fold.
+    """
+    best = select(train_part(data), len(columns), [1.0], steps)
+    rows = [(c, float(v), abs(float(v)) > 1e-5, best["penalty"]) for c, v in zip(columns, best["coef"])]
+    return data.sparkSession.createDataFrame(
+        rows, "feature string, coef double, selected boolean, penalty double"
     )
 
 
-def elastic_net(folds: int, penalties: list[float], mixes: list[float]) -> CrossValidator:
-    return cross_validated(
-        LinearRegression(labelCol="label"),
-        {"regParam": penalties, "elasticNetParam": mixes},
-        folds,
-        "rmse",
-    )
+def elastic_net(
+    data: DataFrame, features: int, mixes: list[float], steps: int = 100, cut: float = 0.6
+) -> tuple[dict, DataFrame]:
+    """The cross-validated choice of mix and penalty, and the predictions of its fit to all train rows."""
+    best = select(train_part(data), features, mixes, steps, scale=True)
+    weights = F.array(*[F.lit(float(v)) for v in best["coef"]])
+    terms = F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w)
+    score = F.lit(float(best["intercept"])) + F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    rows = data.select("cohort", "emplid", "is_dev", "label", score.alias("score"))
+    return best, rows.withColumn("prediction", threshold("score", cut))
 
 
 def boosting_rounds(data: DataFrame, trees: int = 10, depth: int = 6, step: float = 0.6) -> DataFrame:
