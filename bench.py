@@ -16,7 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from cohortlens.checks.all import QUERIES  # noqa: E402
-from cohortlens.session import local_session  # noqa: E402
+from cohortlens.session import local_session, release  # noqa: E402
 
 HEADLINE = [
     "gpa",
@@ -61,6 +61,7 @@ def main() -> None:
             started = time.perf_counter()
             QUERIES[name](spark, root).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - started)
+            release(spark)
         seconds[name] = round(statistics.median(runs), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     print(

@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -36,6 +35,7 @@ from cohortlens.plans.evaluation import (
 from cohortlens.plans.penalty_path import select
 from cohortlens.plans.sampling import smote
 from cohortlens.plans.students import chunk
+from cohortlens.session import hold
 
 _SHORT = [
     "major_change_cnt",
@@ -169,8 +169,8 @@ def cross_validated(
 
 
 def held(data: DataFrame) -> DataFrame:
-    """Keep assembled rows for the many passes of a fit; lost blocks are computed again."""
-    return data.persist(StorageLevel.MEMORY_AND_DISK)
+    """Keep assembled rows for the many passes of a fit."""
+    return hold(data)
 
 
 def train_part(data: DataFrame) -> DataFrame:

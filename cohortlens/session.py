@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Hash joins on student, item or order keys may meet one key with a large share of the rows, so
@@ -36,7 +37,10 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "16g
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Set the runtime SQL options this library relies on in a session made elsewhere."""
+    """Set the runtime SQL options this library relies on in a session made elsewhere.
+
+    They stay set: results are lazy, and need them when they are run.
+    """
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -72,9 +76,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# What results of this session still lean on, until release() is called.
+_SCRATCH: list[str] = []
+_HELD: list[DataFrame] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder in shared storage for a table written and read back."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in shared storage for a table written and read back; ``release`` removes it."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep rows for the many passes of a fit; lost blocks are computed again. ``release`` lets go."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.append(kept)
+    return kept
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of held rows and remove the scratch tables of results that have been consumed.
+
+    Results are lazy, so only the caller knows when: every frame made before this call is spent.
+    """
+    while _HELD:
+        _HELD.pop().unpersist()
+    context = spark.sparkContext
+    while _SCRATCH:
+        path = context._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
