@@ -128,7 +128,7 @@ def _similar_sql(entity: str, feature: str, score: str) -> str:
     ),
 )
 def user_similarity(t: Tables) -> DataFrame:
-    found = similar_entities(thinned(t), "user", "item", "rating", M.NEIGHBOURS, "msd")
+    found = similar_entities(cut_lineage(thinned(t)), "user", "item", "rating", M.NEIGHBOURS, "msd")
     return found.withColumn("sim", X.rounded("sim"))
 
 
@@ -142,7 +142,7 @@ def user_similarity(t: Tables) -> DataFrame:
     ),
 )
 def item_cosine(t: Tables) -> DataFrame:
-    found = similar_entities(thinned(t), "item", "user", "rating", M.NEIGHBOURS, "cosine")
+    found = similar_entities(cut_lineage(thinned(t)), "item", "user", "rating", M.NEIGHBOURS, "cosine")
     return found.withColumn("sim", X.rounded("sim"))
 
 
