@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.checks import views as V
-from cohortlens.checks.registry import check
+from cohortlens.checks.registry import check, part
 from cohortlens.checks.student import features
 from cohortlens.operators.encode import encoded_names
 from cohortlens.plans import evaluation as E
@@ -34,30 +34,104 @@ def judged(t: Tables, name: str, estimator, cut: float = 0.5) -> DataFrame:
     return M.evaluate(name, estimator, data(t), len(FULL), cut)[1]
 
 
-@check("assemble")
+def _rounded(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) + 0.0 for c in columns})
+
+
+# The training rows of the sampling queries, with the ids their draws depend on.
+_LABEL = M.response(YEARS)
+part(
+    "v_train_rows",
+    f"""SELECT md5(concat_ws('|', {", ".join(f"CAST({k} AS VARCHAR)" for k in KEYS)})) AS row_id,
+  CAST({_LABEL} AS INT) AS label, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FULL)}
+FROM v_features WHERE semester_index <= {SEMESTER} AND NOT is_dev""",
+)
+part(
+    "v_minor",
+    """SELECT CASE WHEN one <= zero THEN 1 ELSE 0 END AS minor, least(one, zero) AS small,
+  abs(one - zero) AS wanted
+FROM (SELECT count(*) FILTER (WHERE label = 1) AS one, count(*) FILTER (WHERE label = 0) AS zero FROM v_train_rows)""",
+)
+part(
+    "v_copies",
+    """SELECT *, wanted // small + CASE WHEN place <= wanted % small THEN 1 ELSE 0 END AS copies FROM (
+  SELECT r.*, m.small, m.wanted, row_number() OVER (ORDER BY
+    CAST('0x' || substr(md5(row_id || '|0'), 1, 15) AS BIGINT),
+    CAST('0x' || substr(md5(row_id || '|1'), 1, 15) AS BIGINT)) AS place
+  FROM v_train_rows r JOIN v_minor m ON r.label = m.minor)""",
+)
+_SHOWN = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FULL)
+_KEPT = f"SELECT row_id, label, FALSE AS synthetic, {_SHOWN} FROM v_train_rows"
+_DRAW = "(CAST('0x' || substr(md5(row_id || '|' || draw || '|{}'), 1, 8) AS BIGINT) + 1) / 4294967296.0::DOUBLE"
+
+
+_GAP = "round(" + " + ".join(f"(x.{c} - y.{c}) * (x.{c} - y.{c})" for c in FULL) + ", 9)"
+
+
+def _interpolated(counted: str) -> str:
+    """Synthetic rows of a subquery with ``copies`` per minority row."""
+    return f"""SELECT a.row_id, a.label, TRUE AS synthetic,
+  {", ".join(f"round(a.{c} + (b.{c} - a.{c}) * (1 - a.u2), 6) + 0.0 AS {c}" for c in FULL)}
+FROM (
+  SELECT *, {_DRAW.format(1)} AS u1, {_DRAW.format(2)} AS u2
+  FROM (SELECT *, unnest(range(1, copies + 1)) AS draw FROM {counted} WHERE copies > 0)
+) a JOIN (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY gap, row_id) AS pick FROM (
+    SELECT x.row_id AS key, y.*, {_GAP} AS gap FROM v_copies x JOIN v_copies y ON x.row_id <> y.row_id)
+) b ON b.key = a.row_id
+  AND b.pick = CAST(1 + floor((1 - a.u1) * least({sampling.NEIGHBOURS}, a.small - 1)) AS INT)"""
+
+
+@check(
+    "assemble",
+    f"""SELECT cohort, emplid, is_dev, CAST({_LABEL} AS INT) AS label,
+  [{", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0" for c in FULL)}] AS features
+FROM v_features WHERE semester_index <= {SEMESTER}
+  AND (is_dev OR ({" AND ".join(f"{c} IS NOT NULL" for c in FULL)}))""",
+)
 def assemble(t: Tables) -> DataFrame:
-    return M.seq_data(features(t), SEMESTER, YEARS, FULL, encoding=V.ENCODING).select(
-        "cohort", "emplid", "is_dev", "label", M.vector_to_array("features").alias("features")
-    )
+    rows = M.seq_data(features(t), SEMESTER, YEARS, FULL, encoding=V.ENCODING)
+    values = F.transform(M.vector_to_array("features"), lambda x: F.round(x, 6) + 0.0)
+    return rows.select("cohort", "emplid", "is_dev", "label", values.alias("features"))
 
 
 def _training_rows(t: Tables) -> DataFrame:
     return students.chunk(features(t), SEMESTER, V.ENCODING).filter(~F.col("is_dev"))
 
 
-@check("smote")
+@check(
+    "smote",
+    f"{_KEPT} UNION ALL {_interpolated('v_copies')}",
+)
 def smote(t: Tables) -> DataFrame:
-    return sampling.smote(_training_rows(t), KEYS, FULL, M.response(YEARS))
+    return _rounded(sampling.smote(_training_rows(t), KEYS, FULL, _LABEL), FULL)
 
 
-@check("adasyn")
-def adasyn(t: Tables) -> DataFrame:
-    return sampling.adasyn(_training_rows(t), KEYS, FULL, M.response(YEARS))
+@check(
+    "oversample",
+    f"""{_KEPT} UNION ALL
+SELECT row_id, label, TRUE AS synthetic, {_SHOWN}
+FROM (SELECT *, unnest(range(1, copies + 1)) AS draw FROM v_copies WHERE copies > 0)""",
+)
+def oversample(t: Tables) -> DataFrame:
+    return _rounded(sampling.random_oversample(_training_rows(t), KEYS, FULL, _LABEL), FULL)
 
 
-@check("oversample")
-def oversample(t: Tables) -> DataFrame:
-    return sampling.random_oversample(_training_rows(t), KEYS, FULL, M.response(YEARS))
+part(
+    "v_hard",
+    f"""SELECT c.* EXCLUDE (copies), CAST(round(h.hardness / sum(h.hardness) OVER () * c.wanted) AS BIGINT) AS copies
+FROM v_copies c JOIN (
+  SELECT key, count(*) / {float(sampling.NEIGHBOURS)}::DOUBLE AS hardness FROM (
+    SELECT x.row_id AS key, y.label <> x.label AS other,
+      row_number() OVER (PARTITION BY x.row_id ORDER BY {_GAP}, y.row_id) AS rank
+    FROM v_copies x JOIN v_train_rows y ON x.row_id <> y.row_id)
+  WHERE rank <= {sampling.NEIGHBOURS} AND other GROUP BY key) h ON h.key = c.row_id""",
+)
+
+
+@check("adasyn", f"{_KEPT} UNION ALL {_interpolated('v_hard')}")
+def adasyn(t: Tables) -> DataFrame:
+    return _rounded(sampling.adasyn(_training_rows(t), KEYS, FULL, _LABEL), FULL)
 
 
 @check("quantile_normal")

@@ -21,6 +21,12 @@ def _row_id(keys: list[str]) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
 
 
+def _draw_order(seed: int) -> Column:
+    """Sixty bits of a keyed digest of the row, as a number."""
+    digest = F.md5(F.concat("row_id", F.lit(f"|{seed}")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def _class_sizes(rows: DataFrame, label: str) -> tuple[int, int, int]:
     """(minority label, minority size, majority size)."""
     size = rows.agg(
@@ -42,9 +48,7 @@ def _identified(rows: DataFrame, keys: list[str], features: list[str], label: st
 def _even_copies(minority: DataFrame, size: int, wanted: int) -> DataFrame:
     """Spread ``wanted`` copies over the rows; the remainder goes to the first rows in hash order."""
     numbered = ordinal(
-        minority.withColumns(
-            {"_order": F.xxhash64("row_id"), "_tie": F.xxhash64("row_id", F.lit(1))}
-        ),
+        minority.withColumns({"_order": _draw_order(0), "_tie": _draw_order(1)}),
         "_order",
         "_tie",
     )
