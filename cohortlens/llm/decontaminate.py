@@ -252,3 +252,36 @@ def remove_spans(scanned: Scanned) -> DataFrame:
 
     done = map_rows(scanned.frame, make, struct(f"`{out}` string"), scanned.columns)
     return done.select(*[F.col(out).alias(c) if c == text else F.col(c) for c in scanned.columns])
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS page, doc_id, {_WORDS} AS w FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), {WIDTH}) AS size
+  FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, size, list_slice(w, pos, pos + size - 1) AS win
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS pos FROM items)
+), found AS (
+  SELECT d.page, d.pos, d.size, win.item
+  FROM (SELECT page, size, pos, list_slice(w, pos, pos + size - 1) AS win FROM (
+          SELECT page, w, size, unnest(range(1, len(w) - size + 2)) AS pos
+          FROM docs, (SELECT DISTINCT size FROM items) WHERE len(w) >= size)) d
+  JOIN windows win ON win.win = d.win AND win.size = d.size
+), hits AS (
+  SELECT page, count(DISTINCT spot) AS n FROM (SELECT page, unnest(range(pos, pos + size)) AS spot FROM found)
+  GROUP BY page
+), named AS (
+  SELECT page, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT page, item FROM found WHERE item IS NOT NULL) GROUP BY page
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(named.n, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (page) LEFT JOIN named USING (page)
+"""

@@ -7,7 +7,7 @@ connected components.
 1. Documents with equal sets form one class; only its smallest key goes on.
 2. Every class is posted under each (coordinate, value) of its MinHash signature. Classes of near copies
    collide in most coordinates, so at least ``MATCHES`` of ``COORDINATES`` are asked for: a linked pair
-   falls below with a probability of about 1e-6 at exactly 0.8 and far less above.
+   falls below with a probability of 1.2e-6 at exactly 0.8 and far less above.
 3. Prefix: values that occur once cannot match, and of a class with m shared values only the
    m - MATCHES + 1 rarest have to be posted for two matching classes to meet under one of them.
 4. Skip: merging a posting list counts the collisions of its members by short sketches. First each member is
@@ -20,7 +20,8 @@ No list, group of copies or component is gathered in one task, and of a group's
 components are emitted.
 
 Defined results: a null, empty or blank text has an empty set, no links and is its own component; repeated
-rows of one key are copies; rows with a null key are left out of links; an empty table gives an empty result.
+rows of one key are one document, whose rows stay or go together; rows with a null key take part in no link and
+stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from cohortlens.session import cut_lineage
 SHINGLE = 4
 LINK = 80
 COORDINATES = 64
-# Fewer equal coordinates than this have probability 9e-7 at a similarity of 0.8.
+# Fewer equal coordinates than this have probability 1.2e-6 at a similarity of 0.8.
 MATCHES = 35
 # Members of a posting list that are compared with each other in one task.
 BLOCK = 512

@@ -39,7 +39,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-@query("op5_decontamination")
+@query("op5_decontamination", decontaminate.SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = decontaminate.scan(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
