@@ -20,7 +20,7 @@ SEMESTER = 3
 SETS = M.feature_sets(V.ENCODING)
 FULL = SETS["full"]
 HISTORY = SETS["history"]
-DEMOGRAPHIC = {*encoded_names(V.ENCODING), "gpa_hs", "t_comp", "t_read", "t_math"}
+DEMOGRAPHIC = {*encoded_names(V.ENCODING), "gpa_hs"}
 KEYS = ["emplid", "cohort", "term_code", "plan_cd", "gendr_m"]
 
 
