@@ -1,14 +1,22 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Largest inner product becomes smallest distance: vectors are scaled by the largest norm and get one more
-component that brings each to length 1, queries are scaled to length 1. A table hashes by ``PROJECTIONS``
-Gaussian projections cut into cells of ``WIDTH``. A query visits its own bucket and the perturbed buckets of
-the highest estimated success, in that order, up to ``PROBES`` in each of ``TABLES`` tables. All candidates
-are ranked by their exact inner product with the original vectors, and the tables' candidates are merged.
+Largest inner product becomes smallest distance: vectors are split into bands whose norms differ by a factor
+of ``BAND`` at most, scaled by the largest norm of their band, and get one more component that brings each to
+length 1; queries are scaled to length 1. A table hashes by ``PROJECTIONS`` Gaussian projections cut into
+cells of ``WIDTH``. In each band a query visits its own bucket and the perturbed buckets of the highest
+estimated success, in that order, up to ``PROBES`` in each of ``TABLES`` tables. All candidates are ranked by
+their exact inner product with the original vectors, and the candidates of all tables and bands are merged.
+
+The score of the (k + 1)-th key found so far bounds from below what any key that is still missing must reach.
+Every query is first compared with the ``HEAD`` longest vectors, and visits only bands that can reach that
+score. After the tables the bound gives, for each band, the largest distance a missing neighbour can have and
+so the probability that the buckets visited held it. Where this is below ``RECALL``, and for queries that
+found fewer than k + 1 keys, the query is compared with all vectors of the band, block by block. So each true
+neighbour is found with a probability of ``RECALL`` at least, over the draw of the projections, whatever the
+norms are.
 
 Buckets of any size are split into blocks of bounded vectors and queries. Equal vectors are one candidate
-with its smallest keys, as more than k + 1 of them can never be needed. Queries that found fewer than k are
-answered by comparing them with all vectors, block by block.
+with its smallest keys, as more than k + 1 of them can never be needed.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite components, or have another
 length than most, take no part, neither as queries nor as candidates; a key that occurs in several rows has
@@ -19,6 +27,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +43,9 @@ TABLES = 4
 PROJECTIONS = 5
 WIDTH = 2.0
 PROBES = 30
+RECALL = 0.9
+BAND = 2**0.5
+HEAD = 256
 SEED = 5
 BLOCK = 4096
 QUERY_BLOCK = 1024
@@ -45,6 +57,7 @@ class Hashes:
     def __init__(self, dimension: int, tables: int, projections: int, width: float, probes: int):
         random = np.random.default_rng(SEED)
         self.tables, self.projections, self.probes = tables, projections, probes
+        self.width = width
         self.lines = random.standard_normal((dimension + 1, tables * projections)) / width
         self.shifts = random.uniform(0, 1, tables * projections)
         self.mix = random.integers(1, 1 << 62, projections + 1, dtype=np.int64) * 2 + 1
@@ -54,9 +67,10 @@ class Hashes:
         at = vectors @ self.lines + self.shifts
         return at.reshape(len(vectors), self.tables, self.projections)
 
-    def keys(self, cells: np.ndarray, table: int) -> np.ndarray:
+    def keys(self, cells: np.ndarray, table: int, band: np.ndarray | int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            mixed = (cells.astype(np.int64) * self.mix[:-1]).sum(-1) + (table + 1) * self.mix[-1]
+            own = np.asarray(band, np.int64) * self.tables + table + 1
+            mixed = (cells.astype(np.int64) * self.mix[:-1]).sum(-1) + own * self.mix[-1]
             return mixed ^ (mixed >> 29)
 
     def perturbations(self, rest: np.ndarray) -> np.ndarray:
@@ -84,6 +98,23 @@ class Hashes:
                 out[row, ways[i][1]] = ways[i][2]
         return out
 
+    def success(self, rest: np.ndarray, offsets: list[np.ndarray], distance: float) -> float:
+        """The probability that a vector so far from a query lies in a bucket the query visits.
+
+        ``rest`` (tables, projections) is where the query lies in its cells, ``offsets`` has the visited cells
+        of each table. The way along a projection is normal with a deviation of ``distance / width``, whatever
+        ``rest`` is, as the shifts are uniform.
+        """
+        scale = self.width / (max(distance, 1e-12) * 2**0.5)
+        missed = 1.0
+        for t in range(self.tables):
+            edges = (np.arange(-1, 3)[:, None] - rest[t]) * scale
+            below = np.array([math.erf(x) for x in edges.ravel().tolist()]).reshape(edges.shape) / 2
+            within = below[1:] - below[:-1]
+            held = within[offsets[t] + 1, np.arange(self.projections)].prod(1).sum()
+            missed *= 1 - min(1.0, held)
+        return 1 - missed
+
 
 def vectors(rows: DataFrame, key: str, embedding: str) -> DataFrame:
     """(id, name, vec): the vectors that take part, as doubles, and a 128-bit name of each."""
@@ -121,18 +152,25 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
 
 
-def _post(points: DataFrame, hashes: Hashes, norm: float) -> DataFrame:
-    """(bucket, name, ids, vec): each candidate under its bucket of every table."""
+def _norms(found: np.ndarray) -> np.ndarray:
+    """Lengths of rows other than zero, without overflow on the way."""
+    most = np.abs(found).max(1)
+    return most * np.sqrt(((found / most[:, None]) ** 2).sum(1))
+
+
+def _post(points: DataFrame, hashes: Hashes, bands: dict[int, float]) -> DataFrame:
+    """(bucket, name, ids, vec): each candidate under its bucket of every table, by its band."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = _matrix(batch.column("vec")) / norm
+            band = batch.column("band").to_numpy()
+            found = _matrix(batch.column("vec")) / np.array([bands[b] for b in band.tolist()])[:, None]
             more = np.sqrt(np.maximum(0, 1 - (found * found).sum(1)))
             cells = np.floor(hashes.places(np.column_stack((found, more))))
             for t in range(hashes.tables):
-                keys = pa.array(hashes.keys(cells[:, t], t))
+                keys = pa.array(hashes.keys(cells[:, t], t, band))
                 yield pa.RecordBatch.from_arrays(
                     [keys, *[batch.column(c) for c in ("name", "ids", "vec")]],
                     names=["bucket", "name", "ids", "vec"],
@@ -141,28 +179,72 @@ def _post(points: DataFrame, hashes: Hashes, norm: float) -> DataFrame:
     return points.mapInArrow(run, "bucket bigint, name binary, ids array<bigint>, vec binary")
 
 
-def _probe(queries: DataFrame, hashes: Hashes) -> DataFrame:
-    """(bucket, name, vec): each query under the buckets it visits."""
+def _located(batch: pa.RecordBatch, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Norms of a batch of queries, their cells, and where they lie in these."""
+    found = _matrix(batch.column("vec"))
+    norms = _norms(found)
+    places = hashes.places(np.column_stack((found / norms[:, None], np.zeros(len(found)))))
+    cells = np.floor(places)
+    return norms, cells, places - cells
+
+
+def _reaching(norm: float, floor: float | None, bands: dict[int, float]) -> list[int]:
+    """The bands with room for a vector whose product with a query of that norm is ``floor`` or more."""
+    if floor is None:
+        return list(bands)
+    return [b for b, most in bands.items() if norm * most * (1 + 1e-9) >= floor]
+
+
+def _probe(queries: DataFrame, hashes: Hashes, bands: dict[int, float]) -> DataFrame:
+    """(bucket, name, vec): each query under the buckets it visits in the bands that reach its floor."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = _matrix(batch.column("vec"))
-            found = found / np.sqrt((found * found).sum(1))[:, None]
-            places = hashes.places(np.column_stack((found, np.zeros(len(found)))))
-            cells = np.floor(places)
-            rest = places - cells
-            keys, rows = [], []
-            for i in range(len(found)):
+            norms, cells, rest = _located(batch, hashes)
+            for i, floor in enumerate(batch.column("floor").to_pylist()):
+                reached = np.array(_reaching(norms[i], floor, bands), np.int64)
+                keys = []
                 for t in range(hashes.tables):
                     visited = cells[i, t] + hashes.perturbations(rest[i, t])
-                    own = np.unique(hashes.keys(visited, t))
-                    keys.append(own)
-                    rows.append(np.full(len(own), i))
-            rows = pa.array(np.concatenate(rows))
+                    keys.append(np.unique(hashes.keys(visited[None], t, reached[:, None])))
+                keys = np.concatenate(keys)
+                rows = pa.array(np.full(len(keys), i))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), *[batch.column(c).take(rows) for c in ("name", "vec")]],
+                    names=["bucket", "name", "vec"],
+                )
+
+    return queries.mapInArrow(run, "bucket bigint, name binary, vec binary")
+
+
+def _unsure(queries: DataFrame, hashes: Hashes, bands: dict[int, float], recall: float) -> DataFrame:
+    """(bucket, name, vec): each query under the bands that may hold a neighbour its buckets held too rarely."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            norms, _, rest = _located(batch, hashes)
+            keys, rows = [], []
+            for i, floor in enumerate(batch.column("floor").to_pylist()):
+                open_bands = _reaching(norms[i], floor, bands)
+                if floor is not None:
+                    offsets = [hashes.perturbations(rest[i, t]) for t in range(hashes.tables)]
+                    open_bands = [
+                        b
+                        for b in open_bands
+                        if hashes.success(
+                            rest[i], offsets, math.sqrt(max(0.0, 2 - 2 * (floor / norms[i]) / bands[b]))
+                        )
+                        < recall
+                    ]
+                keys += open_bands
+                rows += [i] * len(open_bands)
+            at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), *[batch.column(c).take(rows) for c in ("name", "vec")]],
+                [pa.array(keys, pa.int64()), *[batch.column(c).take(at) for c in ("name", "vec")]],
                 names=["bucket", "name", "vec"],
             )
 
@@ -226,14 +308,7 @@ def _rank(posted: DataFrame, probes: DataFrame, k: int) -> DataFrame:
             found = nearest(queries, points, k) if points and queries else []
             points.clear()
             queries.clear()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([f[0] for f in found], pa.binary()),
-                    pa.array([f[1] for f in found], pa.int64()),
-                    pa.array([f[2] for f in found], pa.float64()),
-                ],
-                names=["name", "vec_id", "score"],
-            )
+            return _found_batch(found)
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in (*key, "side", "name", "ids", "vec")]
@@ -253,6 +328,39 @@ def _rank(posted: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "name binary, vec_id bigint, score double")
 
 
+def _head(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """(name, vec_id, score): each query's best of the longest vectors, which every task holds."""
+    rows = points.orderBy(F.desc("norm"), "name").limit(max(HEAD, k + 1)).select("ids", "vec").collect()
+    longest = [(r.ids, bytes(r.vec)) for r in rows]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(at, QUERY_BLOCK)
+                names, vecs = part.column("name").to_pylist(), part.column("vec").to_pylist()
+                yield _found_batch(nearest(list(zip(names, vecs)), longest, k))
+
+    return queries.mapInArrow(run, "name binary, vec_id bigint, score double")
+
+
+def _floors(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(name, vec, floor): the score of the (k + 1)-th key found, null where fewer are found."""
+    floors = found.groupBy("name").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    floor = F.when(F.col("n") > k, F.col("least")).alias("floor")
+    return queries.join(floors, "name", "left").select("name", "vec", floor)
+
+
+def _found_batch(found: list[tuple[bytes, int, float]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([f[0] for f in found], pa.binary()),
+            pa.array([f[1] for f in found], pa.int64()),
+            pa.array([f[2] for f in found], pa.float64()),
+        ],
+        names=["name", "vec_id", "score"],
+    )
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     """Each query vector's k + 1 best keys of all tables and blocks."""
     order = Window.partitionBy("name").orderBy(F.desc("score"), "vec_id")
@@ -275,10 +383,12 @@ def search(
     projections: int = PROJECTIONS,
     width: float = WIDTH,
     probes: int = PROBES,
+    recall: float = RECALL,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query row.
 
-    ``is_query`` is a condition on a column ``id``, the key as a long.
+    ``is_query`` is a condition on a column ``id``, the key as a long. ``recall`` is the least probability
+    that a neighbour is found; above 1 all bands that can hold one are compared in full.
     """
     every = cut_lineage(vectors(rows, key, embedding))
     lengths = every.groupBy(F.length("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -294,21 +404,19 @@ def search(
         .groupBy("name")
         .agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("vec").alias("vec"))
     )
-    points = cut_lineage(points)
+    points, bands = _banded(points)
     asked = every.filter(is_query).select(F.col("id").alias("query_id"), "name", "vec")
     queries = cut_lineage(asked.dropDuplicates(["name"]).select("name", "vec"))
-    norm, total = _extent(points)
     hashes = Hashes(lengths.n // 8, tables, projections, width, probes)
-    found = _best(_rank(_post(points, hashes, norm), _probe(queries, hashes), k), k)
-    found = cut_lineage(found)
-    # The exact way for queries whose buckets hold too few.
-    enough = found.groupBy("name").count().filter(F.col("count") >= min(k + 1, total))
-    short = cut_lineage(queries.join(enough, "name", "left_anti"))
-    if not short.isEmpty():
-        all_points = points.select(F.lit(0).cast("long").alias("bucket"), "name", "ids", "vec")
-        all_short = short.select(F.lit(0).cast("long").alias("bucket"), "name", "vec")
-        exact = _best(_rank(all_points, all_short, k), k)
-        found = found.join(short, "name", "left_anti").unionByName(exact)
+    found = cut_lineage(_head(queries, points, k))
+    probing = _probe(_floors(queries, found, k), hashes, bands)
+    ranked = _rank(_post(points, hashes, bands), probing, k)
+    found = cut_lineage(_best(found.unionByName(ranked), k))
+    # The exact way for bands whose buckets may have held too few of a query's neighbours.
+    unsure = cut_lineage(_unsure(_floors(queries, found, k), hashes, bands, recall))
+    if not unsure.isEmpty():
+        whole = points.select(F.col("band").alias("bucket"), "name", "ids", "vec")
+        found = _best(found.unionByName(_rank(whole, unsure, k)), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         asked.select("query_id", "name")
@@ -323,21 +431,23 @@ def search(
     )
 
 
-def _extent(points: DataFrame) -> tuple[float, int]:
-    """The largest norm, and how many keys the candidates have between them (up to k + 1 each)."""
+def _banded(points: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """The candidates with norm and band, and each band's largest norm; band 0 starts at the largest of all."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                found = _matrix(batch.column("vec"))
+                norms = pa.array(_norms(_matrix(batch.column("vec"))))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([float(np.sqrt((found * found).sum(1).max()))]),
-                        pa.array([sum(map(len, batch.column("ids").to_pylist()))]),
-                    ],
-                    names=["norm", "n"],
+                    [*[batch.column(c) for c in ("name", "ids", "vec")], norms],
+                    names=["name", "ids", "vec", "norm"],
                 )
 
-    row = points.select("ids", "vec").mapInArrow(run, "norm double, n bigint")
-    row = row.agg(F.max("norm"), F.sum("n")).first()
-    return row[0], row[1]
+    measured = points.mapInArrow(run, "name binary, ids array<bigint>, vec binary, norm double")
+    measured = cut_lineage(measured)
+    top = math.log2(measured.agg(F.max("norm")).first()[0])
+    band = F.floor((F.lit(top) - F.log2("norm")) / math.log2(BAND)).cast("long")
+    measured = measured.withColumn("band", F.greatest(band, F.lit(0).cast("long")))
+    # The range of a double has room for 4,200 bands.
+    most = measured.groupBy("band").agg(F.max("norm").alias("most")).collect()
+    return measured, {r.band: r.most for r in sorted(most, key=lambda r: r.band)}

@@ -62,3 +62,51 @@ def test_few_and_no_rows(text_spark):
     one = text_spark.createDataFrame([(0, [1.0, 0.0])], schema)
     assert neighbours.search(one, F.col("id") % 20 == 0).count() == 0
     assert neighbours.search(one.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def spread_rows(sigma, outlier, n=2000, dimension=64):
+    random = np.random.default_rng(1)
+    x = random.standard_normal((n, dimension))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= np.exp(sigma * random.standard_normal(n))[:, None]
+    x[7] *= outlier
+    return list(enumerate(x.tolist()))
+
+
+@pytest.mark.parametrize("sigma, outlier", [(0.5, 1), (0, 100)])
+def test_recall_does_not_depend_on_norms(text_spark, sigma, outlier):
+    rows = spread_rows(sigma, outlier)
+    want = brute(rows, 20)
+    frame = text_spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ranked(neighbours.search(frame, F.col("id") % 20 == 0))
+    assert got.keys() == want.keys() and all(len(g) == 20 for g in got.values())
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 20 * len(want)
+
+
+def test_full_recall_is_exact(text_spark):
+    rows = spread_rows(0.25, 1, 600, 8)
+    frame = text_spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ranked(neighbours.search(frame, F.col("id") % 20 == 0, recall=1.1))
+    want = brute(rows, 20)
+    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)
+
+
+def test_success_is_the_share_of_vectors_in_visited_buckets():
+    random = np.random.default_rng(4)
+    distance = 1.3
+    hit, told = [], []
+    for seed in range(300):
+        hashes = neighbours.Hashes(7, 2, 5, 2.0, 30)
+        hashes.lines = random.standard_normal((8, 10)) / 2.0
+        hashes.shifts = random.uniform(0, 1, 10)
+        q = np.zeros((1, 8))
+        way = random.standard_normal((1, 8))
+        near = q + distance * way / np.linalg.norm(way)
+        at = hashes.places(q)[0]
+        cells, rest = np.floor(at), at - np.floor(at)
+        offsets = [hashes.perturbations(r) for r in rest]
+        other = np.floor(hashes.places(near)[0])
+        hit.append(any((cells[t] + offsets[t] == other[t]).all(1).any() for t in range(2)))
+        told.append(hashes.success(rest, offsets, distance))
+    assert abs(np.mean(hit) - np.mean(told)) < 0.1
