@@ -24,9 +24,9 @@ DEMOGRAPHIC = {*encoded_names(V.ENCODING), "gpa_hs"}
 KEYS = ["emplid", "cohort", "term_code", "plan_cd", "gendr_m"]
 
 
-def data(t: Tables, columns: list[str] = FULL, balance: bool = False) -> DataFrame:
+def data(t: Tables, columns: list[str] = FULL, balance: bool = False, folds: int = 10) -> DataFrame:
     return M.held(
-        M.seq_data(features(t), SEMESTER, YEARS, columns, balance, encoding=V.ENCODING)
+        M.seq_data(features(t), SEMESTER, YEARS, columns, balance, encoding=V.ENCODING, folds=folds)
     )
 
 
@@ -157,7 +157,8 @@ def logistic_balanced(t: Tables) -> DataFrame:
 # The grids and rounds of the covered models.
 TREE_GRID = {"featureSubsetStrategy": ["3", "9", "15", "21"], "maxDepth": [3, 5, 7]}
 FOREST_GRID = {"featureSubsetStrategy": ["1", "sqrt"]}
-MIXES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+MIXES = [0.1, 0.5, 0.7, 0.9, 0.95, 0.975, 0.99, 0.995, 1.0]
+NET_FOLDS = 100
 
 
 @check("tree_t")
@@ -188,7 +189,7 @@ def gbt_rounds(t: Tables) -> DataFrame:
 @check("elastic_net")
 def elastic_net(t: Tables) -> DataFrame:
     """The metrics of the chosen fit with the chosen mix and penalty."""
-    best, predictions = M.elastic_net(data(t), len(FULL), MIXES)
+    best, predictions = M.elastic_net(data(t, folds=NET_FOLDS), len(FULL), MIXES)
     return M.judge(predictions).select(
         F.lit(best["mix"]).alias("mix"), F.lit(best["penalty"]).alias("penalty"), "*"
     )
@@ -197,7 +198,7 @@ def elastic_net(t: Tables) -> DataFrame:
 @check("elastic_net_optimality", "SELECT TRUE AS optimal")
 def elastic_net_optimality(t: Tables) -> DataFrame:
     """Whether the chosen fit meets the optimality conditions of its own problem on the training rows."""
-    best, _ = M.elastic_net(data(t), len(FULL), MIXES)
+    best, _ = M.elastic_net(data(t, folds=NET_FOLDS), len(FULL), MIXES)
     optimal = P.optimal(best["sums"], best["coef"], best["penalty"], best["mix"], scale=True)
     return t.spark.createDataFrame([(bool(optimal),)], "optimal boolean")
 

@@ -76,6 +76,7 @@ def seq_data(
     columns: list[str],
     balance: bool = False,
     encoding=DEMOGRAPHIC_ENCODING,
+    folds: int = 10,
 ) -> DataFrame:
     """Rows known by semester ``t`` as (cohort, emplid, is_dev, label, fold, features).
 
@@ -96,11 +97,11 @@ def seq_data(
             F.lit(False).alias("is_dev"),
             "label",
             *columns,
-            fold_of(["row_id"], 10).alias("fold"),
+            fold_of(["row_id"], folds).alias("fold"),
         )
-        real = real.withColumn("fold", fold_of(["emplid"], 10)).unionByName(made)
+        real = real.withColumn("fold", fold_of(["emplid"], folds)).unionByName(made)
     else:
-        real = real.withColumn("fold", fold_of(["emplid"], 10))
+        real = real.withColumn("fold", fold_of(["emplid"], folds))
     return VectorAssembler(inputCols=columns, outputCol="features").transform(real).select(
         "cohort", "emplid", "is_dev", "label", "fold", "features"
     )
