@@ -23,6 +23,7 @@ import re
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cohortlens.llm.common import fresh, map_rows, struct
 
@@ -291,8 +292,8 @@ def extract(source: str | None, model: Model) -> str:
 
 
 def train(labelled: DataFrame, source: str = "html", size: int = LABELLED) -> Model:
-    """Fit to at most ``size`` labelled pages of a table, in a fixed order."""
-    rows = labelled.select(source).orderBy(source).limit(size).collect()
+    """Fit to at most ``size`` labelled pages of a table, those of the smallest hashes, in a fixed order."""
+    rows = labelled.select(source).orderBy(F.xxhash64(source), source).limit(size).collect()
     return fit([r[0] for r in rows if r[0]])
 
 

@@ -78,3 +78,13 @@ def test_odd_rows(text_spark, model):
     assert html_extract.main_text(frame.limit(0), model)[0].count() == 0
     labelled = text_spark.createDataFrame([(p,) for p in labelled_pages()[:40]], "html string")
     assert html_extract.extract("<body><article><p>x</p></article><nav>y</nav>", html_extract.train(labelled)) == "x"
+
+
+def test_training_takes_pages_of_all_openings(text_spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "fit", lambda pages: pages)
+    openings = ["<!DOCTYPE html>", "<body>", "<html>"]
+    pages = [(f"{o}<p>{i}</p>",) for o in openings for i in range(100)]
+    chosen = html_extract.train(text_spark.createDataFrame(pages, "html string"), size=60)
+    again = html_extract.train(text_spark.createDataFrame(pages[::-1], "html string"), size=60)
+    assert len(chosen) == 60 and chosen == again
+    assert all(sum(p.startswith(o) for p in chosen) >= 8 for o in openings)
