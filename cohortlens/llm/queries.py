@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, chat, decontaminate, html_extract, html_pages, line_dedup, near_dup, neighbours, quality, sharding, token_counts
+from cohortlens.llm import bpe, chat, decontaminate, html_extract, html_pages, line_dedup, near_dup, neighbours, packing, quality, sharding, token_counts
 from cohortlens.llm.common import table
 
 # Where the public tokenizer files are; any other folder with the same files will do.
@@ -103,3 +103,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
     return token_counts.recount(docs, counter, keep=["doc_id"], with_text=False)
+
+
+@query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
