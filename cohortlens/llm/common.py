@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.session import cut_lineage
+
 # Texts may be long, so a batch handed to Python holds few rows.
 BATCH_ROWS = 500
 
@@ -83,3 +86,23 @@ def map_rows(
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     return df.mapInArrow(run, schema)
+
+
+def bounded_parts(rows: DataFrame, unit: list[str], weight: str, limit: int) -> Iterator[list]:
+    """The rows on the driver, part by part, units whole; no part weighs more than ``limit``.
+
+    Only a unit that is heavier by itself is a part of its own. Weights are summed by Spark before any row
+    is fetched, and parts are halved until they are light enough. There is one empty part at least.
+    """
+    units = cut_lineage(rows)
+    total = units.agg(F.sum(weight)).first()[0] or 0
+    parts = max(1, -(-total // limit))
+    single = units.groupBy(*unit).agg(F.sum(weight).alias("w"))
+    while True:
+        part = F.pmod(F.xxhash64(*unit), F.lit(parts))
+        heavy = single.groupBy(part.alias("p")).agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+        if heavy.filter((F.col("w") > limit) & (F.col("n") > 1)).isEmpty():
+            break
+        parts *= 2
+    for k in range(parts):
+        yield units.filter(part == k).collect()

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, chat, decontaminate, html_extract, html_pages, line_dedup, near_dup, neighbours, packing, phrases, quality, sharding, token_counts
+from cohortlens.llm import bpe, chat, decontaminate, html_extract, html_pages, lexical, line_dedup, near_dup, neighbours, packing, phrases, quality, sharding, token_counts
 from cohortlens.llm.common import table
 
 # Where the public tokenizer files are; any other folder with the same files will do.
@@ -114,3 +114,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts, _ = phrases.frequent(table(spark, sf_dir, "documents"))
     return phrases.collocations(counts)
+
+
+@query("op11_lexical_search", lexical.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
