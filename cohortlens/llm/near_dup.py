@@ -4,7 +4,8 @@ A document's set are its distinct 4-word shingles (A-Z lower-cased, words split
 words than four are one shingle). Documents are linked when 100 x intersection >= 80 x union, and grouped by
 connected components.
 
-1. Documents with equal sets form one class; only its smallest key goes on.
+1. Documents with equal sets form one class, named by a 128-bit hash of the set; only classes go on, and
+   keys come back at the end. So rows of one key with different texts are never mixed up.
 2. Every class is posted under each (coordinate, value) of its MinHash signature. Classes of near copies
    collide in most coordinates, so at least ``MATCHES`` of ``COORDINATES`` are asked for: a linked pair
    falls below with a probability of 1.2e-6 at exactly 0.8 and far less above.
@@ -20,8 +21,10 @@ No list, group of copies or component is gathered in one task, and of a group's
 components are emitted.
 
 Defined results: a null, empty or blank text has an empty set, no links and is its own component; repeated
-rows of one key are one document, whose rows stay or go together; rows with a null key take part in no link and
-stay; an empty table gives an empty result.
+rows are equal documents; rows of one key with different texts are documents of their own, each in the
+component of its text, but ``drop_copies`` drops a key's rows together as soon as one of them is a copy; rows
+with a null key take part in no link and stay; texts may have any length; an empty table gives an empty
+result; columns that clash with working names stay as they are.
 """
 
 from __future__ import annotations
@@ -145,13 +148,16 @@ def postings(classes: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(node, text, sketch) of posted classes; a row with the key but another text is passed over."""
-    rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
+    """(node, text, sketch) of posted classes, ``wanted`` with the smallest key of each.
+
+    A row with that key but another set is passed over; texts with equal sets serve alike.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def make():
         def compute(batch):
             out: dict[str, list] = {"same": [], "sketch": []}
-            for value, name in zip(batch.column("text").to_pylist(), batch.column("class").to_pylist()):
+            for value, name in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist()):
                 found = shingles(value, width)
                 same = len(found) > 0 and xxhash.xxh128_digest(found.tobytes()) == name
                 out["same"].append(same)
@@ -160,7 +166,7 @@ def _texts(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame)
 
         return compute
 
-    read = rows.join(wanted, "node")
+    read = rows.join(wanted, "id")
     read = map_rows(read, make, struct("same boolean, sketch binary"), ["node", "text"])
     return read.filter("same").drop("same").dropDuplicates(["node"])
 
@@ -332,7 +338,7 @@ def _meetings(posted: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFram
 
 
 class _Unions(dict):
-    """Roots joined so far within one meeting."""
+    """Roots, by number, joined so far within one meeting."""
 
     def find(self, a: int) -> int:
         while (b := self.get(a, a)) != a:
@@ -340,7 +346,7 @@ class _Unions(dict):
         return a
 
 
-def meet(rows: list[tuple], self_too: bool, width: int, link: int) -> list[tuple[int, int]]:
+def meet(rows: list[tuple], self_too: bool, width: int, link: int) -> list[tuple[bytes, bytes]]:
     """Links between different components of one meeting; pairs that are joined already are passed over.
 
     ``rows`` holds (side, node, root, sketch, text). Collisions pick the candidates; their intersections
@@ -349,7 +355,8 @@ def meet(rows: list[tuple], self_too: bool, width: int, link: int) -> list[tuple
     rows = sorted(rows, key=lambda r: (r[0], r[1]))
     n = len(rows)
     side = np.array([r[0] for r in rows])
-    root = np.array([r[2] for r in rows], np.int64)
+    number = {r: i for i, r in enumerate(dict.fromkeys(r[2] for r in rows))}
+    root = np.array([number[r[2]] for r in rows], np.int64)
     marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(n, COORDINATES)
     first = int(np.searchsorted(side, 1))
     found = [None] * n
@@ -400,7 +407,7 @@ def _merge(
             links = meet(held, current[1] == 0, width, link) if len(held) > 1 else []
             held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"]
+                [pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], names=["a", "b"]
             )
 
         for batch in batches:
@@ -414,7 +421,7 @@ def _merge(
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def group(
@@ -424,15 +431,17 @@ def group(
     width: int = SHINGLE,
     link: int = LINK,
 ) -> DataFrame:
-    """(id, n, component): set size and the smallest key reachable by links, for every row."""
+    """(id, n, component): set size and the smallest key reachable by links, for every row.
+
+    Nodes of the link graph are classes.
+    """
     every = cut_lineage(sets(docs, key, text, width))
     named = every.filter(F.col("class").isNotNull() & F.col("id").isNotNull())
     classes = named.groupBy("class").agg(F.min(F.struct("id", "sig")).alias("f"))
-    classes = classes.select("class", F.col("f.id").alias("node"), F.col("f.sig").alias("sig"))
+    classes = classes.select(F.col("class").alias("node"), F.col("f.sig").alias("sig"))
+    first = named.groupBy(F.col("class").alias("node")).agg(F.min("id").alias("id"))
     prefixes = cut_lineage(postings(classes))
-    wanted = prefixes.select("node").distinct().join(
-        named.groupBy("class").agg(F.min("id").alias("node")), "node"
-    )
+    wanted = prefixes.select("node").distinct().join(first, "node")
     texts = cut_lineage(_texts(docs, key, text, width, wanted))
     posted = prefixes.join(texts.select("node", "sketch"), "node")
     star = cut_lineage(confirm(_star(posted), texts, width, link))
@@ -440,11 +449,11 @@ def group(
     rest = cut_lineage(_merge(posted, roots, texts, width, link))
     links = star.unionByName(rest)
     reached = components(links)
-    smallest = reached.groupBy("root").agg(F.min("node").alias("component"))
-    reached = reached.join(smallest, "root").select("node", "component")
-    first = named.groupBy("class").agg(F.min("id").alias("node"))
-    found = first.join(reached, "node", "left").select(
-        "class", F.coalesce("component", "node").alias("component")
+    smallest = reached.join(first, "node").groupBy("root").agg(F.min("id").alias("component"))
+    found = reached.join(smallest, "root").select(F.col("node").alias("class"), "component")
+    first = first.withColumnRenamed("node", "class")
+    found = first.join(found, "class", "left").select(
+        "class", F.coalesce("component", "id").alias("component")
     )
     return every.join(found, "class", "left").select(
         "id", "n", F.coalesce("component", "id").alias("component")

@@ -89,3 +89,21 @@ def test_signatures_estimate_similarity():
     b = np.concatenate((a[:900], np.unique(random.integers(0, 1 << 63, 100, dtype=np.uint64))))
     same = (near_dup.signature(a) == near_dup.signature(b)).mean()
     assert abs(same - 900 / 1100) < 0.17
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_one_key_with_several_texts(text_spark, seed):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (1, a), (4, "alone here"), (4, a + " else"), (4, None)]
+    random.Random(seed).shuffle(rows)
+    docs = text_spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    # Every row is a node of its own; a component is named by its smallest key.
+    numbered = brute(list(enumerate(t for _, t in rows)))
+    smallest = {}
+    for i, (key, _) in enumerate(rows):
+        root = numbered[i][1]
+        smallest[root] = min(smallest.get(root, key), key)
+    want = sorted((key, numbered[i][0], smallest[numbered[i][1]]) for i, (key, _) in enumerate(rows))
+    got = near_dup.report(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert {r.component_id for r in got if r.doc_id in (2, 3)} == {1}
