@@ -6,7 +6,7 @@ document word inside any occurrence of a window is hit.
 
 Defined results: a null or empty text has no words, no hits and is never contaminated; a null benchmark
 text has no windows; several benchmark rows with one id are one item; a benchmark row without an id marks
-words but counts as no item; repeated document rows are judged one by one; an empty benchmark hits nothing.
+words but counts as no item; texts may have any length; repeated document rows are judged one by one; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -17,16 +17,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import fresh, map_rows, struct
+from cohortlens.llm.common import bounded_parts, fresh, map_rows, struct
 from cohortlens.session import cut_lineage
 
 WIDTH = 13
-# One broadcast holds the windows of so many bytes of benchmark text; a larger benchmark is scanned in
-# several passes, so no broadcast grows with the tables.
-BLOCK_BYTES = 32 << 20
+# One broadcast holds so many windows; a larger benchmark is scanned in several passes, so no broadcast grows
+# with the tables. Long items are cut into slices of so many windows first.
+BLOCK_WINDOWS = 200_000
+SLICE = 5_000
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
-_TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_TABLE = bytes.maketrans(_UPPER.encode(), _UPPER.lower().encode())
 _TABLE = bytes(c if c in _KEEP else 32 for c in _TABLE)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -157,16 +160,24 @@ def _scan(
     return map_rows(docs, make, added, keep)
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
-    """Lists of (item, text), each of about ``block_bytes``."""
+def _slices(benchmark: DataFrame, item: str, text: str, width: int) -> DataFrame:
+    """(i, t, windows): items cut into runs of words with at most ``SLICE`` windows, each run once."""
+    lower = F.translate(F.col(text).cast("string"), _UPPER, _UPPER.lower())
     rows = benchmark.select(
-        F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")
-    )
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in part.collect()]
+        F.col(item).cast("string").alias("i"), F.regexp_extract_all(lower, F.lit(f"({_WORD})")).alias("w")
+    ).filter(F.size("w") > 0)
+    windows = F.greatest(F.size("w") - width + 1, F.lit(1))
+    rows = rows.select("i", "w", F.explode(F.sequence(F.lit(0), windows - 1, F.lit(SLICE))).alias("at"))
+    n = F.least(F.lit(SLICE), windows - F.col("at"))
+    words_ = F.slice("w", F.col("at") + 1, n + width - 1)
+    return rows.select("i", F.array_join(words_, " ").alias("t"), n.alias("windows")).distinct()
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, width: int, block_windows: int):
+    """Lists of (item, text) with at most ``block_windows`` windows."""
+    rows = _slices(benchmark, item, text, width)
+    for part in bounded_parts(rows, ["i", "t"], "windows", block_windows):
+        yield [(r.i, r.t) for r in part]
 
 
 @dataclass
@@ -193,12 +204,12 @@ def scan(
     item: str = "item_id",
     benchmark_text: str = "text",
     width: int = WIDTH,
-    block_bytes: int = BLOCK_BYTES,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> Scanned:
     """Mark the words of every document that lie inside a benchmark window."""
     names = [fresh(docs, n) for n in ("_n_words", "_n_hit", "_bits", "_items")]
     out, first = docs, True
-    for block in _blocks(benchmark, item, benchmark_text, block_bytes):
+    for block in _blocks(benchmark, item, benchmark_text, width, block_windows):
         if not first:
             out = cut_lineage(out)
         out = _scan(out, index_windows(block, width), names, docs.columns, text, first)

@@ -54,12 +54,13 @@ ITEMS = [
 ]
 
 
-def test_odd_documents_in_one_and_several_passes(text_spark, odd_documents):
+def test_odd_documents_in_one_and_several_passes(text_spark, odd_documents, monkeypatch):
     bench = text_spark.createDataFrame(ITEMS, "item_id bigint, text string")
     docs = [(r.doc_id, r.text) for r in odd_documents.collect()]
     want = brute(docs, ITEMS)
-    for size in (decontaminate.BLOCK_BYTES, 20):
-        scanned = decontaminate.scan(odd_documents, bench, block_bytes=size)
+    for size in (decontaminate.BLOCK_WINDOWS, 3):
+        monkeypatch.setattr(decontaminate, "SLICE", min(size, 2))
+        scanned = decontaminate.scan(odd_documents, bench, block_windows=size)
         assert sorted([tuple(r) for r in decontaminate.report(scanned).collect()], key=str) == want
         kept = decontaminate.drop_contaminated(scanned)
         assert kept.columns == odd_documents.columns
@@ -76,3 +77,35 @@ def test_remove_spans(text_spark):
     )
     out = decontaminate.remove_spans(decontaminate.scan(docs, bench))
     assert {r.doc_id: r.text for r in out.collect()} == {1: "A, ! e", 2: "b c x", 3: None, 4: ""}
+
+
+def test_blocks_are_bounded(text_spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE", 7)
+    items = [(1, " ".join(f"w{i}" for i in range(100))), (2, "a b"), (3, "x " * 13), (3, "x " * 13), (4, None)]
+    bench = text_spark.createDataFrame(items, "item_id bigint, text string")
+    blocks = list(decontaminate._blocks(bench, "item_id", "text", 13, 20))
+    assert len(blocks) >= 5
+    got = set()
+    for block in blocks:
+        own = decontaminate.index_windows(block)
+        assert sum(len(rows) for _, rows, *_ in own.by_length.values()) <= 20
+        back = {i: w.decode() for w, i in own.vocabulary.items()}
+        for _, rows, owners, _ in own.by_length.values():
+            got |= {(o, tuple(back[i] for i in r.tolist())) for r, os in zip(rows, owners) for o in os}
+    want = set()
+    for item, text in items:
+        w = words(text)
+        want |= {(str(item), tuple(w[i : i + 13])) for i in range(max(1, len(w) - 12) if w else 0)}
+    assert got == want
+
+
+def test_batches_are_bounded_in_bytes(text_spark):
+    """Ten texts of 10 MB: no batch holds more than two of them, and all are scanned whole."""
+    docs = text_spark.range(0, 10, 1, 1).selectExpr("id AS doc_id", "concat(repeat('word ', 2000000), 'b c d') AS text")
+    seen = docs.mapInArrow(
+        lambda batches: (b.select(["doc_id"]).slice(0, 1) for b in batches if b.num_rows), "doc_id bigint"
+    )
+    assert seen.count() >= 5
+    bench = text_spark.createDataFrame([(1, "b c d")], "item_id bigint, text string")
+    rows = decontaminate.report(decontaminate.scan(docs, bench)).collect()
+    assert [(r.n_words, r.n_hit) for r in rows] == [(2_000_003, 3)] * 10
