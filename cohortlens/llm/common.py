@@ -11,11 +11,13 @@ from pyspark.sql import types as T
 
 from cohortlens.session import cut_lineage
 
-# Texts may be long, so a batch handed to Python holds few rows.
+# Texts may be long, so a batch handed to Python holds few rows, and few bytes if its rows are large.
 BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
 
 SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
