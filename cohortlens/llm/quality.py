@@ -6,7 +6,8 @@ before. Softmax over the labels, trained by stochastic gradient descent in numpy
 
 Training takes at most ``SAMPLE`` labelled documents per label, those of the smallest key hashes; each
 becomes a vector of feature weights where it is read, and one task fits the model on these. The model
-travels back as one score per feature: as averages and the layer above are linear, a document's score is the
+travels back with the labels' true mix restored: the bias gets the log ratio of the labels' counts over
+that of the sample, so scores mean the same at every size. It is one score per feature: as averages and the layer above are linear, a document's score is the
 average of its words' scores. Scoring is one pass without a shuffle.
 
 Defined results: a null or empty text has no words and gets the score of the bias alone; a text of any
@@ -17,6 +18,7 @@ share of label 1 (0.5 without any).
 
 from __future__ import annotations
 
+import math
 import operator
 import zlib
 from collections import Counter
@@ -115,7 +117,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
             back = layer @ error
             layer -= 0.5 * left * np.outer(hidden, error)
             bias -= 0.05 * left * error
-            vectors[index] -= (RATE * left) * np.outer(weight, back)
+            # A short document's few weights are large; a step moves its average by the gradient at most.
+            rate = min(RATE, 1 / max(float(weight @ weight), 1e-9))
+            vectors[index] -= (rate * left) * np.outer(weight, back)
     scores[:-1] = vectors @ (layer[:, 1] - layer[:, 0])
     scores[-1] = bias[1] - bias[0]
     return scores
@@ -124,10 +128,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 def sample(
     docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, size: int = SAMPLE
 ) -> DataFrame:
-    """(text, label): at most ``size`` documents of each label, those of the smallest key hashes."""
-    marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("label"))
-    marked = marked.filter(F.col("label").isin(0, 1)).distinct()
-    marked = marked.join(docs.select(F.col(key).alias("k")), "k", "left_semi")
+    """(text, label): at most ``size`` documents of each label, those of the smallest key hashes.
+
+    Keys with equal hashes are taken in their own order.
+    """
+    marked = _marked(docs, labels, label, key)
     order = [F.xxhash64("k"), F.col("k")]
     parts = [marked.filter(F.col("label") == v).orderBy(*order).limit(size) for v in (0, 1)]
     # At most 2 x size rows are broadcast; a key that occurs several times gives one text.
@@ -140,6 +145,21 @@ def sample(
     )
 
 
+def _marked(docs: DataFrame, labels: DataFrame, label: str, key: str) -> DataFrame:
+    """(k, label) of the documents that have labels."""
+    marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("label"))
+    marked = marked.filter(F.col("label").isin(0, 1)).distinct()
+    return marked.join(docs.select(F.col(key).alias("k")), "k", "left_semi")
+
+
+def mix_shift(counts: dict[int, int], size: int) -> float:
+    """What the bias lacks of the labels' true log ratio when at most ``size`` of each were learned from."""
+    if not counts.get(0) or not counts.get(1):
+        return 0.0
+    true = math.log(counts[1] / counts[0])
+    return true - math.log(min(counts[1], size) / min(counts[0], size))
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -172,8 +192,11 @@ def train(
         ]
         yield pd.DataFrame({"scores": [fit(examples).astype(np.float32).tobytes()]})
 
-    model = rows.repartition(1).mapInPandas(learn, "scores binary").first()
-    return np.frombuffer(model.scores, np.float32) if model else fit([]).astype(np.float32)
+    found = rows.repartition(1).mapInPandas(learn, "scores binary").first()
+    model = np.frombuffer(found.scores, np.float32).copy() if found else fit([]).astype(np.float32)
+    counts = _marked(docs, labels, label, key).groupBy("label").count().collect()
+    model[-1] += mix_shift({r.label: r["count"] for r in counts}, size)
+    return model
 
 
 def score(

@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from cohortlens.llm import quality
 from cohortlens.llm.queries import QUERIES
 from tests.conftest import SMALL
@@ -35,3 +37,15 @@ def test_without_labels(text_spark, odd_documents):
     one = text_spark.createDataFrame([(1, 1), (2, 1)], "doc_id bigint, quality int")
     assert all(r.score > 0.7 for r in quality.report(odd_documents, one).collect())
     assert quality.report(odd_documents.limit(0), one).count() == 0
+
+
+def test_scores_do_not_depend_on_the_sampled_mix(text_spark):
+    assert quality.mix_shift({0: 10, 1: 90}, 100) == 0 == quality.mix_shift({1: 500}, 20)
+    assert abs(quality.mix_shift({0: 30, 1: 3000}, 20) - np.log(100)) < 1e-9
+    # Words say nothing about the label here, so a score is the share of label 1.
+    rows = [(i, f"word number {i % 7}", int(i % 10 > 0)) for i in range(1500)]
+    docs = text_spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    whole, part = (quality.train(docs, docs, size=n) for n in (2000, 100))
+    for model in (whole, part):
+        scored, column = quality.score(docs, model)
+        assert abs(scored.selectExpr(f"avg({column})").first()[0] - 0.9) < 0.06
