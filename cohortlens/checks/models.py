@@ -155,37 +155,21 @@ def logistic_balanced(t: Tables) -> DataFrame:
 
 
 # The grids and rounds of the covered models.
-TREE_GRID = {"featureSubsetStrategy": ["3", "9", "15", "21"], "maxDepth": [3, 5, 7]}
 FOREST_GRID = {"featureSubsetStrategy": ["1", "sqrt"]}
 MIXES = [0.1, 0.5, 0.7, 0.9, 0.95, 0.975, 0.99, 0.995, 1.0]
 NET_FOLDS = 100
 
 
-@check("tree_t")
-def tree_t(t: Tables) -> DataFrame:
-    return judged(t, "tree", M.cross_validated(M.feature_tree(labelCol="label"), TREE_GRID))
-
-
 @check("forest_t")
 def forest_t(t: Tables) -> DataFrame:
     return judged(t, "forest", M.cross_validated(M.forest(100, maxDepth=10), FOREST_GRID))
 
 
-@check("gbt_t")
-def gbt_t(t: Tables) -> DataFrame:
-    return judged(t, "gbt", M.boosted(20, depth=6, step=0.6))
-
-
 @check("gbt_shallow")
 def gbt_shallow(t: Tables) -> DataFrame:
     return judged(t, "gbt_shallow", M.boosted(100, depth=3, step=0.1))
 
 
-@check("gbt_rounds")
-def gbt_rounds(t: Tables) -> DataFrame:
-    return M.boosting_rounds(data(t), trees=20)
-
-
 @check("elastic_net")
 def elastic_net(t: Tables) -> DataFrame:
     """The metrics of the chosen fit with the chosen mix and penalty."""

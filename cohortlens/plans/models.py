@@ -129,11 +129,6 @@ def tree(**options) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(seed=42, **options)
 
 
-def feature_tree(**options) -> RandomForestClassifier:
-    """A tree that sees so many features at each split: a forest of one tree over all rows."""
-    return RandomForestClassifier(numTrees=1, bootstrap=False, seed=42, **options)
-
-
 def forest(trees: int = 100, **options) -> RandomForestClassifier:
     options = {"featureSubsetStrategy": "sqrt", **options}
     return RandomForestClassifier(numTrees=trees, seed=42, **options)
@@ -296,21 +291,3 @@ def elastic_net(
     score = F.lit(float(best["intercept"])) + F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
     rows = data.select("cohort", "emplid", "is_dev", "label", score.alias("score"))
     return best, rows.withColumn("prediction", threshold("score", cut))
-
-
-def boosting_rounds(data: DataFrame, trees: int = 10, depth: int = 6, step: float = 0.6) -> DataFrame:
-    """Train and dev AUC after each boosting round: (round, is_dev, roc_auc).
-
-    All rounds are scored in one pass: each tree adds its value, and the running sums are the scores.
-    """
-    model = boosted(trees, depth, step).fit(train_part(data))
-    scored = data.select("is_dev", "label", "features")
-    margin, margins = F.lit(0.0), []
-    for i, (one, weight) in enumerate(zip(model.trees, model.treeWeights)):
-        scored = one.setPredictionCol(f"_p{i}").transform(scored)
-        margin = margin + F.col(f"_p{i}") * weight
-        margins.append(F.struct(F.lit(i + 1).alias("round"), margin.alias("score")))
-    rounds = scored.select("is_dev", "label", F.explode(F.array(*margins)).alias("r")).select(
-        "is_dev", "label", "r.round", "r.score"
-    )
-    return roc_auc(rounds, by=["round", "is_dev"])
