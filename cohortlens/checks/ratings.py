@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortlens.checks.registry import check, part
 from cohortlens.functions import expressions as X
 from cohortlens.operators.neighbours import similar_entities
+from cohortlens.plans import factor_sgd as S
 from cohortlens.plans import ratings as P
 from cohortlens.plans import recommend as M
 from cohortlens.session import cut_lineage
@@ -293,6 +294,46 @@ def co_cluster(t: Tables) -> DataFrame:
     return M.co_cluster_predict(*held_out(t)).drop("fold")
 
 
+def _svd(train: DataFrame, test: DataFrame) -> DataFrame:
+    return S.predict(train, test, S.fit(train)[S.ROUNDS])
+
+
 @check("rmse_leaderboard")
 def rmse_leaderboard(t: Tables) -> DataFrame:
-    return M.leaderboard(cut_lineage(thinned(t)), FOLDS)
+    return M.leaderboard(cut_lineage(thinned(t)), FOLDS, {"svd": _svd})
+
+
+# The grid of the covered factor model, as (rate, penalty).
+SVD_CHOICES = [(0.001, 0.02), (0.001, 0.5), (0.01, 0.02), (0.01, 0.5)]
+SVD_ROUNDS = [20, 30]
+
+
+@check("svd_rmse")
+def svd_rmse(t: Tables) -> DataFrame:
+    """Error of the factor model with 100 factors and 20 rounds."""
+    return P.rmse(_svd(*held_out(t)))
+
+
+@check("svd_grid")
+def svd_grid(t: Tables) -> DataFrame:
+    """Cross-validated error of every choice; all choices and folds are fitted side by side."""
+    train, test = M.folded(cut_lineage(thinned(t)), FOLDS)
+    train, test = cut_lineage(train), cut_lineage(test)
+    rows = None
+    for n, state in S.fit(train, SVD_CHOICES, SVD_ROUNDS).items():
+        found = P.rmse(S.predict(train, test, state, len(SVD_CHOICES)), ["choice", "fold"])
+        row = found.groupBy("choice").agg(F.avg("rmse").alias("rmse")).withColumn("rounds", F.lit(n))
+        rows = row if rows is None else rows.unionByName(row)
+    names = F.array(*[F.struct(F.lit(a).alias("rate"), F.lit(b).alias("penalty")) for a, b in SVD_CHOICES])
+    chosen = F.get(names, F.col("choice"))
+    return rows.select("rounds", chosen["rate"].alias("rate"), chosen["penalty"].alias("penalty"), "rmse").orderBy(
+        "rmse", "rounds", "rate", "penalty"
+    )
+
+
+@check("topk_factors")
+def topk_factors(t: Tables) -> DataFrame:
+    """Every user's ten best unseen items by the factor model."""
+    train = cut_lineage(thinned(t).withColumn("fold", F.lit(0)))
+    best, _ = S.top_lists(S.fit(train)[S.ROUNDS], train, 10)
+    return best
