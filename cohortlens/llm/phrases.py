@@ -4,15 +4,18 @@ A phrase is a run of words inside a piece of text, counted within its language,
 of a frequent phrase is frequent. So:
 
 1. a hash sample of the documents is mined with a lowered threshold; what it finds frequent is proposed;
-2. a full pass counts, exactly, all phrases whose first and whose last words (all but one) are proposed. These
-   are the proposals and their negative border: the phrases of which every part is proposed, but not they;
+2. a full pass counts all phrases whose first and whose last words (all but one) are proposed, by 64-bit hash.
+   These are the proposals and their negative border: the phrases of which every part is proposed, but not
+   they. What stays below the threshold by hash is infrequent for certain, as a shared hash only adds;
 3. a phrase of the border that turns out frequent is a border failure: the sample missed it, and longer
-   phrases over it were not counted. It is added to the proposals and a further full pass counts what that
-   adds, until there is no failure. Each pass repairs failures of a longer length, so there are few.
+   phrases over it were not counted. A second full pass counts by the words themselves, exactly, what may be
+   frequent and, if there are failures, expands them: every phrase over a failure that the first pass left out
+   is counted in all lengths at once, whether or not its parts are proposed. So the result is closed then: a
+   frequent phrase has frequent parts, and by induction over its length it is counted in one of the passes.
 
 Proposals are broadcast as a bit table of hashes, whose size is bounded (``MOST_BITS``); a chance hit there
-only adds phrases to those counted, as counts are kept by the words themselves. Phrases are counted per
-batch, then map-side, then shuffled by (language, phrase), so no frequent word or large language is one group.
+only adds phrases to those counted. Phrases are counted per batch, then map-side, then shuffled by hash or by
+(language, phrase), so no frequent word or large language is one group.
 
 Defined results: a null text is empty; a null language is ``und``; words and pieces may have any length;
 repeated rows count as often as they occur; an empty table gives an empty result; other columns, whatever
@@ -44,14 +47,17 @@ LOWERED = 3
 # Bits of the broadcast table per proposal, and the limits of its size (2^28 bits are 32 MB).
 BITS_EACH = 16
 LEAST_BITS, MOST_BITS = 16, 28
-# Text that is counted together, in bytes. Longer texts are cut at the end of a piece.
-BATCH_BYTES = 8 << 20
+# Text that is counted together, in bytes: a worker needs about a hundred times that. Longer texts are cut at
+# the end of a piece. Phrases are handed on so many at a time.
+BATCH_BYTES = 2 << 20
+BATCH_PHRASES = 50_000
 
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 # All ends of pieces become a full stop, which then stands for itself as a word.
 _TABLE = bytes.maketrans(_UPPER + b",;:!?\n\x0b\x0c\r", _LOWER + b"." * 9)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_COUNTED = "lang string, size int, phrase string, hash bigint, known boolean, n bigint"
+_HASHED = "hash bigint, size int, n bigint"
+_COUNTED = "lang string, size int, phrase string, n bigint"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,9 +77,6 @@ class Proposals:
         at = hashes >> np.uint64(64 - self.bits)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
 
-    def __or__(self, other: Proposals) -> Proposals:
-        return Proposals(self.words | other.words, self.bits)
-
 
 def bit_table(hashes: DataFrame, bits: int) -> Proposals:
     """The table of all values of the column ``hash``; the driver gets at most 2^bits / 64 words."""
@@ -103,6 +106,22 @@ class _Grams:
     hashes: np.ndarray
     where: np.ndarray
     counts: np.ndarray
+    # Counted in the first pass already; else only the expansion of a border failure reaches it.
+    old: np.ndarray
+
+
+@dataclass
+class _Batch:
+    """Words of a batch of texts, with a full stop after every piece and text."""
+
+    names: list[bytes]
+    word: np.ndarray
+    kinds: list[bytes]
+    lang: np.ndarray
+
+    def phrases(self, where: np.ndarray, length: int) -> list[bytes]:
+        columns = [[self.names[i] for i in self.word[where + k].tolist()] for k in range(length)]
+        return columns[0] if length == 1 else list(map(b" ".join, zip(*columns)))
 
 
 def _number(keys: np.ndarray, at: np.ndarray, n: int, hashed) -> _Grams:
@@ -112,61 +131,59 @@ def _number(keys: np.ndarray, at: np.ndarray, n: int, hashed) -> _Grams:
     )
     full = np.full(n, -1, np.int64)
     full[at] = inverse
-    return _Grams(full, hashed(distinct), at[first], counts)
+    return _Grams(full, hashed(distinct), at[first], counts, np.ones(len(distinct), bool))
 
 
-def count_batch(
-    langs: list[bytes],
-    texts: list[bytes],
-    longest: int,
-    proposals: Proposals | None = None,
-    before: Proposals | None = None,
-) -> Iterator[tuple[int, _Grams, np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
-    """The phrases of a batch by length: (length, phrases, which to report, words, word and language ids).
-
-    Without ``proposals`` all phrases are counted, else those with proposed parts; with ``before`` only those
-    that are no longer than one word more than parts which ``before`` did not hold.
-    """
+def read_batch(langs: list[bytes], texts: list[bytes]) -> _Batch:
     lists = [t.replace(b".", b" . ").split() for t in texts]
     words = list(itertools.chain.from_iterable(itertools.chain(t, (b".",)) for t in lists))
     number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    names = list(number)
     word = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     kinds = {k: i for i, k in enumerate(dict.fromkeys(langs))}
-    lang = np.repeat(
-        np.array([kinds[k] for k in langs], np.int64), [len(t) + 1 for t in lists]
-    )
+    sizes = [len(t) + 1 for t in lists]
+    lang = np.repeat(np.array([kinds[k] for k in langs], np.int64), sizes)
+    return _Batch(list(number), word, list(kinds), lang)
+
+
+def count_batch(
+    batch: _Batch, longest: int, proposals: Proposals | None = None, missed: Proposals | None = None
+) -> Iterator[tuple[int, _Grams]]:
+    """The phrases of a batch by length.
+
+    Without ``proposals`` all phrases are counted, else those with proposed parts, and with ``missed`` also
+    all that are made of proposed, missed and such further parts.
+    """
+    word, names = batch.word, batch.names
     hashed = np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)
-    lang_hash = np.array([xxhash.xxh64_intdigest(k, 1) for k in kinds], np.uint64)
-    many = np.int64(len(names))
-    at = np.flatnonzero(word != number.get(b".", -1))
+    lang_hash = np.array([xxhash.xxh64_intdigest(k, 1) for k in batch.kinds], np.uint64)
+    many = np.int64(max(len(names), 1))
+    stop = names.index(b".") if names else -1
+    at = np.flatnonzero(word != stop)
     grams = _number(
-        lang[at] * many + word[at],
+        batch.lang[at] * many + word[at],
         at,
         len(word),
         lambda k: _mix(lang_hash[k // many] * _ODD + hashed[k % many]),
     )
-    every = np.ones(len(grams.counts), bool)
-    yield 1, grams, every if before is None else ~every, names, word, lang
+    yield 1, grams
+    none = np.zeros(1, bool)  # number -1: no phrase here
     for length in range(2, longest + 1):
-        held = every if proposals is None else proposals.holds(grams.hashes)
-        held = np.concatenate((held, [False]))  # number -1: no phrase here
-        likely = held[grams.at]
+        every = np.ones(len(grams.counts), bool)
+        known = grams.old & (every if proposals is None else proposals.holds(grams.hashes))
+        part = known if missed is None else known | ~grams.old | missed.holds(grams.hashes)
+        likely = np.concatenate((part, none))[grams.at]
         at = np.flatnonzero(likely[:-1] & likely[1:])
-        old = grams
-        last = word[at + length - 1]
+        shorter = grams
         grams = _number(
-            old.at[at] * many + last,
+            shorter.at[at] * many + word[at + length - 1],
             at,
             len(word),
-            lambda k: _mix(old.hashes[k // many] * _ODD + hashed[k % many]),
+            lambda k: _mix(shorter.hashes[k // many] * _ODD + hashed[k % many]),
         )
-        every = np.ones(len(grams.counts), bool)
-        new = every
-        if before is not None:
-            known = np.concatenate((before.holds(old.hashes), [False]))[old.at]
-            new = ~(known[grams.where] & known[grams.where + 1])
-        yield length, grams, new, names, word, lang
+        if missed is not None:
+            known = np.concatenate((known, none))[shorter.at]
+            grams.old = known[grams.where] & known[grams.where + 1]
+        yield length, grams
 
 
 def _slices(text: bytes) -> Iterator[bytes]:
@@ -197,59 +214,53 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], l
         yield langs, texts
 
 
-def _hashes(docs: DataFrame, longest: int) -> DataFrame:
-    """Hash and count of all phrases of each batch."""
-    schema = struct("hash bigint, n bigint")
+def _hashes(docs: DataFrame, longest: int, proposals=None) -> DataFrame:
+    """(hash, size, n) of proposals and border, or of all phrases, by batch."""
+    names = [f.name for f in struct(_HASHED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = proposals and proposals.value
         for langs, texts in _batches(batches):
-            for _, grams, *_ in count_batch(langs, texts, longest):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams.hashes.view(np.int64)), pa.array(grams.counts)], ["hash", "n"]
-                )
+            for length, grams in count_batch(read_batch(langs, texts), longest, table):
+                size = np.full(len(grams.counts), length, np.int32)
+                columns = [grams.hashes.view(np.int64), size, grams.counts]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, struct(_HASHED))
 
 
-def _counts(docs: DataFrame, longest: int, proposals, before=None) -> DataFrame:
-    """Exact counts of proposals and border by batch; as length 0, the number of words."""
+def _counts(docs: DataFrame, longest: int, proposals, likely, missed=None) -> DataFrame:
+    """(lang, size, phrase, n) by batch of what is likely frequent and of all expansions; as size 0, the words."""
     names = [f.name for f in struct(_COUNTED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, earlier = proposals.value, before and before.value
+        tables = proposals.value, missed and missed.value
         for langs, texts in _batches(batches):
-            for length, grams, report, words, word, lang in count_batch(
-                langs, texts, longest, table, earlier
-            ):
-                kinds = list(dict.fromkeys(langs))
-                if length == 1 and before is None:
-                    total = np.bincount(lang[grams.at >= 0], minlength=len(kinds))
-                    zero = [0] * len(kinds)
-                    rows = [kinds, zero, [b""] * len(kinds), zero, [True] * len(kinds), total]
-                    yield _rows(rows, names)
-                which = np.flatnonzero(report)
-                where = grams.where[which]
-                columns = [[words[i] for i in word[where + k].tolist()] for k in range(length)]
-                phrases = columns[0] if length == 1 else list(map(b" ".join, zip(*columns)))
-                hashes = grams.hashes[which]
-                known = table.holds(hashes)
-                yield _rows(
-                    [
-                        [kinds[i] for i in lang[where].tolist()],
-                        np.full(len(which), length),
-                        phrases,
-                        hashes.view(np.int64),
-                        known,
-                        grams.counts[which],
-                    ],
-                    names,
-                )
+            batch = read_batch(langs, texts)
+            kinds = batch.kinds
+            for length, grams in count_batch(batch, longest, *tables):
+                if length == 1:
+                    total = np.bincount(batch.lang[grams.at >= 0], minlength=len(kinds))
+                    yield _rows([kinds, [0] * len(kinds), [b""] * len(kinds), total], names)
+                every = np.flatnonzero(~grams.old | likely.value.holds(grams.hashes))
+                for first in range(0, len(every), BATCH_PHRASES):
+                    which = every[first : first + BATCH_PHRASES]
+                    where = grams.where[which]
+                    yield _rows(
+                        [
+                            [kinds[i] for i in batch.lang[where].tolist()],
+                            np.full(len(which), length),
+                            batch.phrases(where, length),
+                            grams.counts[which],
+                        ],
+                        names,
+                    )
 
     return docs.mapInArrow(run, struct(_COUNTED))
 
 
 def _rows(values: list, names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.int64()]
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64()]
     arrays = [pa.array(v, kind) for v, kind in zip(values, kinds)]
     return pa.RecordBatch.from_arrays([a.cast(pa.string()) if a.type == pa.binary() else a for a in arrays], names)
 
@@ -266,42 +277,50 @@ def frequent(
     max_words: int = MAX_WORDS,
     sample: int = SAMPLE,
 ) -> tuple[DataFrame, int]:
-    """Exact counts of all frequent phrases of 1 to ``max_words`` words, and the number of full passes.
+    """Exact counts of all frequent phrases of 1 to ``max_words`` words, and the number of border failures.
 
     Columns lang, size, phrase, n; a row of size 0 per language holds the number of its words. ``key`` only
     makes the sample take copies of one text independently.
     """
-    spark = docs.sparkSession
-    value = F.col(text).cast("string")
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), value.alias("text"))
+    share = docs.sparkSession.sparkContext.broadcast
+    columns = [
+        F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
+        F.col(text).cast("string").alias("text"),
+    ]
+    rows = docs.select(*columns)
     chosen = F.pmod(F.xxhash64(*([key] if key else []), text), F.lit(sample)) == 0
-    sampled = docs.filter(chosen).select(
-        F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), value.alias("text")
-    )
+
+    def by_hash(counted: DataFrame, least: int) -> DataFrame:
+        """The hashes with a sufficient count, of phrases of any length."""
+        total = counted.groupBy("hash", "size").agg(F.sum("n").alias("n"))
+        return cut_lineage(total.filter(F.col("n") >= least).select("hash", "size"))
+
     least = max(2, min_count // (sample * LOWERED))
-    proposed = cut_lineage(
-        _hashes(sampled, max_words - 1)
-        .groupBy("hash")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= least)
-        .select("hash")
-    )
+    proposed = by_hash(_hashes(docs.filter(chosen).select(*columns), max_words - 1), least)
     table = bit_table(proposed, bits_for(proposed.count()))
-    before, found, passes = None, None, 0
-    while True:
-        held = spark.sparkContext.broadcast(table)
-        counted = _counts(rows, max_words, held, before)
-        new = cut_lineage(
-            counted.groupBy("lang", "size", "phrase")
-            .agg(F.sum("n").alias("n"), F.max("hash").alias("hash"), F.max("known").alias("known"))
-            .filter((F.col("n") >= min_count) | (F.col("size") == 0))
-        )
-        passes += 1
-        found = new if found is None else found.unionByName(new)
-        missed = new.filter(F.col("size").between(1, max_words - 1) & ~F.col("known"))
-        if missed.isEmpty():
-            return found.select("lang", "size", "phrase", "n"), passes
-        before, table = held, table | bit_table(missed, table.bits)
+    proposals = share(table)
+    likely = by_hash(_hashes(rows, max_words, proposals), min_count)
+    likely_table = bit_table(likely, bits_for(4 * likely.count()))
+    # Hashes that are not among the proposals; a chance hit counts as proposed, as it did in the pass.
+    missed = cut_lineage(_unheld(likely.filter(F.col("size") < max_words), proposals))
+    failures = missed.count()
+    expand = share(bit_table(missed, bits_for(failures))) if failures else None
+    exact = _counts(rows, max_words, proposals, share(likely_table), expand)
+    found = exact.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    found = cut_lineage(found.filter((F.col("n") >= min_count) | (F.col("size") == 0)))
+    return found, failures
+
+
+def _unheld(hashes: DataFrame, table) -> DataFrame:
+    """The hashes that the broadcast table does not hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("hash").to_numpy()
+            left = own[~table.value.holds(own.view(np.uint64))]
+            yield pa.RecordBatch.from_arrays([pa.array(left)], ["hash"])
+
+    return hashes.select("hash").mapInArrow(run, "hash bigint")
 
 
 # -- scores

@@ -68,7 +68,7 @@ def test_against_brute_force(text_spark, monkeypatch, seed):
     rows = invented(seed, 250)
     docs = text_spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
     docs = docs.selectExpr("*", "'x' AS phrase", "1 AS n", "2 AS size")
-    counts, passes = phrases.frequent(docs, min_count=6)
+    counts, _ = phrases.frequent(docs, min_count=6)
     plain = [r[1:] for r in rows]
     want = brute_counts(plain, 5)
     totals = Counter()
@@ -83,7 +83,7 @@ def test_against_brute_force(text_spark, monkeypatch, seed):
     assert out == brute(plain, 6, top=40)
 
 
-def test_failures_of_the_border_lead_to_more_passes(text_spark):
+def test_failures_of_the_border_are_expanded(text_spark):
     # All words come from one document outside the sample, so that the sample proposes nothing of it.
     docs = text_spark.createDataFrame(
         [(i, "en", "one two three four five six. " * 9 if i == 3 else "other words") for i in range(40)],
@@ -94,8 +94,8 @@ def test_failures_of_the_border_lead_to_more_passes(text_spark):
         for m in range(2, 40)
         if docs.filter(f"doc_id = 3 AND pmod(xxhash64(doc_id, text), {m}) != 0").count()
     ]
-    counts, passes = phrases.frequent(docs, min_count=9, sample=outside[0])
-    assert passes > 1
+    counts, failures = phrases.frequent(docs, min_count=9, sample=outside[0])
+    assert failures > 0
     want = brute_counts([(r.lang, r.text) for r in docs.collect()], 5)
     got = {(r.phrase): r.n for r in counts.filter("size > 0").collect()}
     assert got == {" ".join(p): n for (_, p), n in want.items() if n >= 9}
@@ -121,6 +121,6 @@ def test_exact_scores_beyond_64_bits(text_spark):
 
 def test_no_documents(text_spark):
     docs = text_spark.createDataFrame([], "doc_id bigint, lang string, text string")
-    counts, passes = phrases.frequent(docs)
-    assert counts.count() == 0 and passes == 1
+    counts, failures = phrases.frequent(docs)
+    assert counts.count() == 0 and failures == 0
     assert phrases.collocations(counts).count() == 0
