@@ -56,16 +56,63 @@ class LibraryEncoder(bpe.Encoder):
         self.merger = tokenizers.Tokenizer.from_str(json.dumps(spec | plain | {"post_processor": None}))
         self.width = _width(spec)
 
+        # Finished chunks of an earlier generation, and ids of words: more caches of bounded size.
+        self.older: dict[str, bytes] = {}
+        self.merged_words: dict[str, bytes] = {}
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        calls = range(0, len(words), WORDS_A_CALL)
-        lines = [" ".join(words[i : i + WORDS_A_CALL]) for i in calls]
-        flat, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, line in zip(calls, lines):
-            found = self.merger.encode(line, add_special_tokens=False)
-            flat.append(np.array(found.ids, np.int64))
-            owner = np.array(found.word_ids, np.int64)
-            sizes.append(np.bincount(owner, minlength=min(WORDS_A_CALL, len(words) - i)))
-        return np.concatenate(flat), np.concatenate(sizes)
+        known = self.merged_words
+        if len(known) + len(words) > bpe.WORDS:
+            known.clear()
+        new = [w for w in words if w not in known]
+        for i in range(0, len(new), WORDS_A_CALL):
+            part = new[i : i + WORDS_A_CALL]
+            found = self.merger.encode(" ".join(part), add_special_tokens=False)
+            data = np.array(found.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(1, len(part) + 1)) * 4
+            known.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends.tolist()], ends.tolist()))
+        found = list(map(known.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4").astype(np.int64), sizes
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        rows: list[list[bytes | None]] = []
+        # Chunks that are not in the cache: where they belong.
+        gaps: list[tuple[list, int, str]] = []
+        new: set[str] = set()
+
+        def learn() -> None:
+            if len(self.words) + len(new) > bpe.WORDS:
+                self.older, self.words = self.words, {}
+            self._learn(new)
+            for found, i, chunk in gaps:
+                found[i] = self.words[chunk]
+            gaps.clear()
+            new.clear()
+
+        for text in texts:
+            row: list[bytes | None] = []
+            for part in self._parts(text):
+                if not isinstance(part, list):
+                    row.append(part)
+                    continue
+                found = list(map(self.words.get, part))
+                at = -1
+                for _ in range(found.count(None)):
+                    at = found.index(None, at + 1)
+                    chunk = part[at]
+                    if (old := self.older.get(chunk)) is not None:
+                        found[at] = self.words[chunk] = old
+                    else:
+                        gaps.append((row, len(row) + at, chunk))
+                        new.add(chunk)
+                row += found
+            rows.append(row)
+            if len(new) > bpe.WORDS // 8:
+                learn()
+        learn()
+        return list(map(b"".join, rows))
 
 
 _LOADED: dict[bytes, LibraryEncoder] = {}
