@@ -1,7 +1,9 @@
 """HTML main text by a tree-structured graphical model.
 
 Every element of a page is a node labelled content or not. A node potential comes from its features (tag,
-words of class, id and role, hidden or not, share of link text), a parent-child potential couples each
+words of class, id and role, hidden or not, share of link text, nothing but links under headings, and whether it wraps the
+page: an element with half of all plain text if that is long, or with a headline and a fifth of it, is judged by
+its tag alone, as names on wrappers say what else the page has), a parent-child potential couples each
 element with the one it stands in. Sum-product messages passed up and down the tree give each element's
 content marginal; text directly inside elements above one half is the main text. The weights are those of a
 conditional random field, fitted to labelled pages by gradient ascent with the same messages.
@@ -11,7 +13,7 @@ Text is decoded, white space inside a block becomes one space, and blocks are jo
 Defined results: a null, empty or text-free page gives the empty text; broken markup is read as browsers do
 in the simple cases (implied ends of paragraphs and list items, unknown end tags ignored, an unfinished tag
 or comment at the end dropped); pages of any length and depth are read whole; repeated pages are extracted one by
-one; an empty table gives an empty result.
+one; an empty table gives an empty result; columns whose names clash are kept beside a longer name.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from cohortlens.llm.common import fresh, map_rows, struct
 EPOCHS = 60
 RATE = 0.5
 SHRINK = 1e-3
+# Characters of plain text from which half of a page's text is taken for a wrapped page.
+LONG = 300
 # At most so many labelled pages are learned from.
 LABELLED = 500
 
@@ -60,6 +64,9 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _WORDS = re.compile(r"[a-z]+")
 
 
+# Elements whose text nobody reads, and elements that hold text themselves.
+UNSEEN = frozenset("script style title template noscript iframe textarea select option svg".split())
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre a span b i em strong button label".split())
 # Elements that say the same about where they stand.
 _KIND = dict.fromkeys(INLINE - {"a"}, "inline") | {f"h{i}": "heading" for i in range(1, 7)}
 
@@ -164,27 +171,40 @@ class Page:
 def features(page: Page) -> list[list[str]]:
     """Names of each element's features."""
     n = len(page.tag)
-    text, linked = [0] * n, [0] * n
+    text, linked, links, headed = [0] * n, [0] * n, [0] * n, [0] * n
+    headline = [False] * n
     for node, piece in page.flow:
-        if piece is not None:
+        if piece is not None and page.tag[node] not in UNSEEN:
+            piece = html.unescape(piece) if "&" in piece else piece
             text[node] += len(piece) - piece.count(" ") - piece.count("\n")
     for v in range(n - 1, -1, -1):
         if page.tag[v] == "a":
             linked[v] = text[v]
+            links[v] += 1
+        elif _KIND.get(page.tag[v]) == "heading":
+            headline[v] = page.tag[v] == "h1"
+            headed[v] = text[v] - linked[v]
         if v:
             p = page.parent[v]
             text[p] += text[v]
             linked[p] += linked[v]
+            links[p] += links[v]
+            headed[p] += headed[v]
+            headline[p] = headline[p] or headline[v]
+    whole = text[0] - linked[0]
     out = []
     for v in range(n):
         tag = page.tag[v]
-        own = ["tag " + (_KIND.get(tag, tag))]
+        plain = text[v] - linked[v]
+        wraps = 2 * plain >= whole and plain >= LONG or (headline[v] and 5 * plain >= whole)
+        wraps = wraps and plain > 0 and tag not in _LEAVES
+        own = [("wraps " if wraps else "tag ") + (_KIND.get(tag, tag))]
         given = page.attributes[v]
         if "=" in given or "hidden" in given:
             for name, a, b, c in _ATTRIBUTE.findall(given):
                 name, value = name.lower(), html.unescape(a or b or c).lower()
                 if name in ("class", "id", "role"):
-                    for word in _WORDS.findall(value):
+                    for word in () if wraps else _WORDS.findall(value):
                         own.append("is " + (word[:-1] if len(word) > 2 and word[-1] == "s" else word))
                 elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                     own.append("hidden")
@@ -193,6 +213,9 @@ def features(page: Page) -> list[list[str]]:
         if text[v] and page.tag[v] != "a":
             share = linked[v] / text[v]
             own.append("links " + ("most" if share > 0.6 else "some" if share > 0.2 else "few"))
+            # A little may stand between links.
+            if links[v] > 1 and text[v] - linked[v] - headed[v] <= 2 * links[v]:
+                own.append("links only")
         out.append(own)
     return out
 

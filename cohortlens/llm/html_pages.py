@@ -47,6 +47,14 @@ WRAPPERS = [
     "<section><div>{inside}{article}</div></section>",
     "{article}",
 ]
+# Names of furniture on wrappers say what else is on the page; these hold long articles only.
+NAMED_WRAPPERS = [
+    "<article class='post tag-story comments-on share-yes'>{article}{inside}</article>",
+    "<main class='has-ads no-sidebar'>{inside}{article}</main>",
+    "<form id='form1' class='search-page'>{inside}{article}</form>",
+    "<div class='layout menu-left related-off'><div class='col'>{article}{inside}</div></div>",
+    "<form><div class='widget-area social'><section>{inside}{article}</section></div></form>",
+]
 
 WORDS = "A few words or a whole sentence that does not belong to the story."
 LINKS = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in ("home", "news", "about", "help"))
@@ -55,7 +63,7 @@ INNER = [
     f"<ul>{LINKS}</ul>",
     WORDS,
     f"<h3>More</h3><div><p>{WORDS} <a href='/a'>here</a></p></div>",
-    f"<h1>Words</h1><span>{WORDS}</span> <em>and</em> <i>so</i> <strong>on</strong><br>{WORDS}",
+    f"<h2>Words</h2><span>{WORDS}</span> <em>and</em> <i>so</i> <strong>on</strong><br>{WORDS}",
     f"<table><tr><td>{WORDS}</td><td><a href='/b'>b</a></td></tr></table><ol><li><p>{WORDS}</p></li></ol>",
     f"<div><div><p>{SHORT}</p><p>{TEXT}</p></div><img src='x'><figure><figcaption>{WORDS}</figcaption></figure></div>",
     f"<h2>Words</h2><p><b>{WORDS}</b></p><ul><li>one</li></ul><span>{WORDS}</span>",
@@ -69,7 +77,11 @@ NAMES = (
     "sidebar aside side widget rail related recommended trending popular more notice alert cookie consent gdpr privacy "
     "popup modal overlay banner ad advert advertisement adsense sponsor sponsored promo promotion commercial form search "
     "login signup newsletter subscribe subscription comment respond reply discussion disqus feedback share social follow "
-    "tag meta byline hidden skip complementary contentinfo dialog"
+    "tag meta byline hidden skip complementary contentinfo dialog response reply reaction opinion "
+    # German, French and Spanish
+    "kommentar kommentare antwort werbung anzeige teilen verwandt mehr fusszeile kopfzeile seitenleiste hinweis suche "
+    "commentaire commentaires publicite annonce partager voir plus pied entete barre avis recherche "
+    "comentario comentarios publicidad anuncio compartir relacionado pie cabecera aviso buscar"
 ).split()
 
 COMPOUNDS = (
@@ -101,6 +113,12 @@ def _furniture() -> list[str]:
         f"<div hidden data-label=\"0\"><p>{WORDS}</p></div>",
         f"<p aria-hidden='true' data-label=\"0\">{WORDS}</p>",
         f"<div data-label=\"0\"><ul>{LINKS}</ul></div>",
+        "<div data-label=\"0\"><a href='/1'>One story</a> | <a href='/2'>Another story</a> | <a href='/3'>Third</a></div>",
+        "<p data-label=\"0\"><a href='/1'>First page</a> <a href='/2'>Second</a> <a href='/3'>Third</a></p>",
+        f"<section data-label=\"0\"><h3>More</h3><p><a href='/1'>One story</a></p><p><a href='/2'>Another</a></p></section>",
+        f"<div data-label=\"0\"><h4>More</h4><ul>{LINKS}</ul></div>",
+        "<div data-label=\"0\"><h3>More of the same</h3><ul><li><a href='/1'>One</a><li><a href='/2'>Two</a></ul></div>",
+        "<div data-label=\"0\"><a href='/1'>One</a> - <a href='/2'>Two</a> - <a href='/3'>Three</a></div>",
         "<select data-label=\"0\"><option>a<option>b</select>",
         "<button data-label=\"0\">Share</button>",
         "<textarea data-label=\"0\">words</textarea>",
@@ -126,11 +144,14 @@ SCRIPT = (
 def labelled_pages() -> list[str]:
     """Every piece of furniture before, inside and after a long and a short article, in turn with every wrapper."""
     pieces = _furniture()
-    pages = []
+    pages, wrapped = [], []
     for i in range(0, len(pieces), 3):
         before, inside, after = (pieces[(i + k) % len(pieces)] for k in range(3))
         wrapper = WRAPPERS[(i // 3) % len(WRAPPERS)]
+        named = NAMED_WRAPPERS[(i // 3) % len(NAMED_WRAPPERS)]
+        body = named.format(article=ARTICLES[0], inside=inside)
+        wrapped.append(f"<html>{HEAD}<body>{before}{SCRIPT}{body}{after}</body></html>")
         for article in (ARTICLES[0], ARTICLES[1 + (i // 3) % (len(ARTICLES) - 1)]):
             body = wrapper.format(article=article, inside=inside)
             pages.append(f"<html>{HEAD}<body>{before}{SCRIPT}{body}{after}</body></html>")
-    return pages
+    return pages + wrapped

@@ -88,3 +88,68 @@ def test_training_takes_pages_of_all_openings(text_spark, monkeypatch):
     again = html_extract.train(text_spark.createDataFrame(pages[::-1], "html string"), size=60)
     assert len(chosen) == 60 and chosen == again
     assert all(sum(p.startswith(o) for p in chosen) >= 8 for o in openings)
+
+
+BODY = "<h1>Headline of it</h1><p>Real text one, a full sentence.</p><p>Real text two, a full sentence.</p>"
+REAL = "Headline of it Real text one, a full sentence. Real text two, a full sentence."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article class="post tag-news comment-open share-on">{BODY}</article>',
+        f'<main class="with-ads">{BODY}</main>',
+        f'<form id="aspnetForm"><article>{BODY}</article></form>',
+        f'<div class="page sidebar-right"><div class="single-ad-free">{BODY}</div></div>',
+        f'<article>{BODY}</article><div class="responses"><div><p>A reader says no.</p></div></div>',
+        f'<article>{BODY}</article><div><h3>Read next</h3><ul><li><a href="/a">A story</a><li><a href="/b">B</a></ul></div>',
+        f'<div class="x1"><a href="/a">Home</a> <a href="/b">News</a> <a href="/c">Help</a></div><article>{BODY}</article>',
+        f'<article>{BODY}</article><section id="kommentare"><p>Nein.</p></section><div class="werbung">Kauf!</div>',
+    ],
+)
+def test_names_on_wrappers_and_blocks_without_known_names(model, page):
+    assert html_extract.extract(f"<html><body>{page}<footer>Bad</footer></body></html>", model) == REAL
+
+
+def held_out_forms():
+    """Page forms and names that no labelled page has: (page, text)."""
+    outer = ['<div class="td-pb-span8">{}</div>', '<main id="maincontent">{}</main>', '<article itemscope>{}</article>',
+             '<div id="root"><div class="css-1x">{}</div></div>', '<form name="f"><div id="ctl00">{}</div></form>',
+             '<article class="hentry category-ads tag-menu">{}</article>', '<section class="single ad-free">{}</section>']
+    noise = ['<div class="comments-area"><ol><li><p>First!</p></li></ol></div>', '<ul id="nav-links"><li><a href="/">Home</a></li></ul>',
+             '<div class="cookie-bar"><p>We use cookies.</p></div>', '<div class="ad-slot">Buy now</div>',
+             '<div class="sharebar share-buttons"><a href="/f">F</a> <a href="/t">T</a></div>', '<aside class="x"><p>Aside words.</p></aside>',
+             '<div><a href="/1">One</a> &middot; <a href="/2">Two</a> &middot; <a href="/3">Three</a></div>',
+             '<div class="reader-opinions comment"><p>I disagree.</p></div>', '<footer><p>All rights.</p></footer>']
+    for i, wrap in enumerate(outer):
+        for k in range(len(noise)):
+            a, b, c = (noise[(i + k + j) % len(noise)] for j in (0, 2, 5))
+            yield f"<html><body>{a}{wrap.format(BODY + b)}{c}</body></html>", REAL
+
+
+def test_recall_and_precision_on_held_out_forms(model):
+    hit = kept = wanted = 0
+    for page, text in held_out_forms():
+        got, want = html_extract.extract(page, model).split(), text.split()
+        common = sum(min(got.count(w), want.count(w)) for w in set(want))
+        hit, kept, wanted = hit + common, kept + len(got), wanted + len(want)
+    print("recall", hit / wanted, "precision", hit / max(kept, 1))
+    assert hit / wanted >= 0.97 and hit / kept >= 0.93
+
+
+def test_marginals_equal_an_enumeration_of_all_labellings(model):
+    rng = __import__("random").Random(4)
+    for _ in range(15):
+        n = rng.randint(1, 8)
+        parent = [-1] + [rng.randrange(v) for v in range(1, n)]
+        own = [rng.uniform(-3, 3) for _ in range(n)]
+        weight = [0.0] * n
+        total = 0.0
+        for labels in __import__("itertools").product((0, 1), repeat=n):
+            score = sum(o for o, y in zip(own, labels) if y)
+            score += sum(model.pair[labels[parent[v]]][labels[v]] for v in range(1, n))
+            total += (value := __import__("math").exp(score))
+            for v in range(n):
+                weight[v] += value * labels[v]
+        _, odds, _ = model.messages(parent, own)
+        assert [html_extract._odds(x) for x in odds] == pytest.approx([w / total for w in weight], abs=1e-9)
