@@ -134,12 +134,58 @@ def adasyn(t: Tables) -> DataFrame:
     return _rounded(sampling.adasyn(_training_rows(t), KEYS, FULL, _LABEL), FULL)
 
 
-@check("quantile_normal")
+# The landmark quantile transform: shares of 1,000 landmarks, then the rational approximation.
+_SCALED = students.SCALED_PERFORMANCE
+_MARKS = 1000
+part(
+    "v_scaled_values",
+    " UNION ALL ".join(f"SELECT '{c}' AS c, CAST({c} AS DOUBLE) AS x FROM v_features" for c in _SCALED),
+)
+part(
+    "v_marks",
+    f"""SELECT c, unnest(quantile_cont(x, [{", ".join(repr(i / (_MARKS - 1)) for i in range(_MARKS))}])) AS mark
+FROM v_scaled_values WHERE x IS NOT NULL GROUP BY c""",
+)
+
+
+def _poly(coefficients: list[float], x: str) -> str:
+    value = f"({coefficients[0]!r}::DOUBLE)"
+    for c in coefficients[1:]:
+        value = f"({value} * {x} + ({c!r}::DOUBLE))"
+    return value
+
+
+_T = transforms
+part(
+    "v_ranked",
+    f"""SELECT c, x, CASE WHEN upto > below THEN (below + upto - 1) / 2.0::DOUBLE
+  ELSE greatest(0.0::DOUBLE, least({_MARKS - 1}.0::DOUBLE, below - 1 + (x - low) / CASE WHEN high > low THEN high - low ELSE 1.0::DOUBLE END))
+  END / {float(_MARKS - 1)!r}::DOUBLE AS share
+FROM (SELECT v.c, v.x, count(*) FILTER (m.mark < v.x) AS below, count(*) FILTER (m.mark <= v.x) AS upto,
+    coalesce(max(m.mark) FILTER (m.mark < v.x), min(m.mark)) AS low,
+    coalesce(min(m.mark) FILTER (m.mark >= v.x), max(m.mark)) AS high
+  FROM (SELECT DISTINCT c, x FROM v_scaled_values WHERE x IS NOT NULL) v JOIN v_marks m ON m.c = v.c GROUP BY v.c, v.x)""",
+)
+part(
+    "v_normal",
+    f"""SELECT c, x, round(CASE WHEN p < {_T.TAIL} THEN t WHEN p > 1 - {_T.TAIL} THEN -t ELSE z END, 6) + 0.0 AS y FROM (
+  SELECT c, x, p, d * {_poly(_T.CENTRE_NUM, "(d * d)")} / {_poly(_T.CENTRE_DEN, "(d * d)")} AS z,
+    {_poly(_T.TAIL_NUM, "q")} / {_poly(_T.TAIL_DEN, "q")} AS t
+  FROM (SELECT c, x, p, p - 0.5 AS d, sqrt(-2 * ln(least(p, 1 - p))) AS q FROM (
+    SELECT c, x, greatest(least(share, 1 - {_T.EDGE!r}::DOUBLE), {_T.EDGE!r}::DOUBLE) AS p FROM v_ranked)))""",
+)
+
+
+@check(
+    "quantile_normal",
+    f"""SELECT f.emplid, f.cohort, f.term_code, f.plan_cd, {", ".join(f"n{i}.y AS {c}" for i, c in enumerate(_SCALED))}
+FROM v_features f {" ".join(
+    f"LEFT JOIN v_normal n{i} ON n{i}.c = '{c}' AND n{i}.x = CAST(f.{c} AS DOUBLE)" for i, c in enumerate(_SCALED)
+)}""",
+)
 def quantile_normal(t: Tables) -> DataFrame:
-    columns = students.SCALED_PERFORMANCE
-    return transforms.quantile_normal(
-        features(t).select("emplid", "cohort", "term_code", "plan_cd", *columns), columns
-    )
+    rows = features(t).select("emplid", "cohort", "term_code", "plan_cd", *_SCALED)
+    return _rounded(transforms.quantile_normal(rows, _SCALED), _SCALED)
 
 
 @check("logistic_t")

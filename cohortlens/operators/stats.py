@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.expressions import ratio, rounded
 from cohortlens.operators.ordered import running_totals
+from cohortlens.session import cut_lineage
 
 QUARTILES = [0.25, 0.5, 0.75]
+# Columns whose pairs are one plain aggregate.
+FEW = 20
 
 
 def _melt(wide: DataFrame, columns: list[str], parts: dict[str, str]) -> DataFrame:
@@ -80,7 +83,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> D
     Values are counted first, then located by their running counts, so no task and no aggregation
     buffer has to hold a whole column.
     """
-    counted = value_counts(df, columns)
+    # Written once: sizes, cut points and running counts then read the counts, not the input.
+    counted = cut_lineage(value_counts(df, columns))
     sizes = counted.groupBy("column_name").agg(F.sum("n").alias("total"))
     located = running_totals(counted, "value", ["n"], ["column_name"]).join(
         F.broadcast(sizes), "column_name"
@@ -100,6 +104,37 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> D
     return picked.select("column_name", *values)
 
 
+def exact_landmarks(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """(column_name, i, value): the quantiles at i / (n - 1), exact at any size, interpolated.
+
+    A distinct value knows from its running count which landmarks lie on it, so the landmarks come from
+    the counted values directly, ``n`` rows per column.
+    """
+    counted = cut_lineage(value_counts(df, columns))
+    sizes = counted.groupBy("column_name").agg(F.sum("n").alias("total"))
+    located = running_totals(counted, "value", ["n"], ["column_name"]).join(
+        F.broadcast(sizes), "column_name"
+    )
+    first, last = F.col("n_before"), F.col("n_before") + F.col("n")
+    step = F.greatest(F.col("total") - 1, F.lit(1)) / F.lit(float(n - 1))
+    # One more on either side, so that no rounding loses a landmark.
+    near = F.sequence(
+        F.greatest(F.floor((first - 1) / step) - 1, F.lit(0)).cast("int"),
+        F.least(F.ceil(last / step) + 1, F.lit(n - 1)).cast("int"),
+    )
+    spot = F.col("i") / F.lit(float(n - 1)) * (F.col("total") - 1)
+    ends = located.withColumn("i", F.explode(near)).withColumn("spot", spot)
+
+    def at(rank):
+        return F.max(F.when((first <= rank) & (rank < last), F.col("value")))
+
+    found = ends.groupBy("column_name", "i", "spot").agg(
+        at(F.floor("spot")).alias("low"), at(F.ceil("spot")).alias("high")
+    )
+    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("spot") - F.floor("spot"))
+    return found.filter(F.col("low").isNotNull()).select("column_name", "i", value.alias("value"))
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, std, min, quartiles and max per numeric column."""
     wide = df.agg(
@@ -126,6 +161,40 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 def corr_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every column pair (lower triangle), pairwise complete.
 
+    Up to ``FEW`` columns it is one aggregate of built-in correlations, combined map-side, in one run of the
+    input; the number of pairs would make the plan of more columns too large.
+    """
+    if len(columns) > FEW:
+        return _corr_of_many(df, columns)
+    pairs = list(combinations(columns, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, corr double")
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+
+    def spread(c: str, other: str):
+        return F.stddev_pop(F.when(F.col(other).isNotNull(), F.col(c)))
+
+    # Undefined where a column does not vary.
+    one = numbers.agg(
+        *[
+            F.when(
+                (spread(a, b) > 0) & (spread(b, a) > 0),
+                F.covar_pop(a, b) / F.nullif(spread(a, b) * spread(b, a), F.lit(0.0)),
+            ).alias(f"p{k}")
+            for k, (a, b) in enumerate(pairs)
+        ]
+    )
+    cells = [
+        F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), F.col(f"p{k}").alias("corr"))
+        for k, (a, b) in enumerate(pairs)
+    ]
+    found = one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return found.withColumn("corr", rounded("corr"))
+
+
+def _corr_of_many(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``corr_pairs`` from moments that each task sums up as matrices.
+
     Rows become (pair, a, b) batch by batch only as per-partition moments, so one small row per pair and
     task is shuffled, and the number of pairs is no matter of plan size. Values are shifted by one known row
     of figures, which keeps the sums of squares well away from cancellation.

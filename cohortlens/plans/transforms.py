@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordered import quantile_points
+from cohortlens.operators.stats import exact_landmarks
 
 # Coefficients of a public rational approximation of the inverse normal distribution.
 CENTRE_NUM = [
@@ -52,13 +52,15 @@ def inverse_normal(share: Column) -> Column:
 def quantile_normal(df: DataFrame, columns: list[str], landmarks: int = 1000) -> DataFrame:
     """Replace each column by the normal quantile of its interpolated rank.
 
-    The ranks come from a fixed number of quantile landmarks per column, however large the input is.
+    The ranks come from a fixed number of quantile landmarks per column, however large the input is. The
+    landmarks are exact, so repeated runs give the same figures.
     A value equal to several landmarks takes the middle of their ranks. Looking a value up among the
     landmarks is a binary search over Arrow batches; the normal quantile is a built-in expression.
     """
-    shares = [i / (landmarks - 1) for i in range(landmarks)]
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    found = numbers.agg(*[quantile_points(c, shares).alias(c) for c in columns]).first()
+    found: dict[str, list[float]] = {}
+    # ``landmarks`` rows per column.
+    for row in sorted(exact_landmarks(df, columns, landmarks).collect(), key=lambda r: (r.column_name, r.i)):
+        found.setdefault(row.column_name, []).append(row.value)
 
     def rank(marks: list[float]):
         points = np.asarray(marks)
@@ -77,6 +79,6 @@ def quantile_normal(df: DataFrame, columns: list[str], landmarks: int = 1000) ->
 
         return share_of
 
-    known = [c for c in columns if found[c] is not None]
+    known = [c for c in columns if c in found]
     ranked = df.withColumns({c: rank(found[c])(F.col(c).cast("double")) for c in known})
-    return ranked.withColumns({c: F.when(~F.isnan(c), inverse_normal(F.col(c))) for c in known})
+    return ranked.withColumns({c: F.when(F.col(c).isNotNull() & ~F.isnan(c), inverse_normal(F.col(c))) for c in known})
