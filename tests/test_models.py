@@ -129,6 +129,23 @@ def test_malformed_lines_are_skipped(spark, tmp_path):
     assert [r[0] for r in frame.select("rating").collect()] == [5, 7, 8]
 
 
+def test_short_lines_are_filled_up(spark, tmp_path):
+    path = tmp_path / "short.csv"
+    path.write_text("a;b;c\n1;x\n2\n3;z;9\n")
+    frame = readers.read_delimited(spark, str(path), readers.RATINGS_SCHEMA, ["user", "item", "rating"])
+    assert [tuple(r) for r in frame.collect()] == [(1, "x", None), (2, None, None), (3, "z", 9)]
+
+
+def test_an_incomplete_dev_row_makes_the_assembling_fail(table):
+    columns = ["term_gpa", "gpa_hs"]
+    one = table.filter("is_dev AND semester_index <= 3").orderBy("emplid", "cohort", "term_code", "plan_cd").limit(1)
+    broken = table.unionByName(one.withColumn("gpa_hs", F.lit(None).cast(table.schema["gpa_hs"].dataType)))
+    listed = models.incomplete_dev(broken, 3, columns, V.ENCODING)
+    assert listed.filter(F.array_contains("missing", "gpa_hs")).count() >= 1
+    with pytest.raises(Exception, match="null"):
+        models.seq_data(broken, 3, 4.0, columns, encoding=V.ENCODING).collect()
+
+
 def test_a_cluster_without_shared_folder_is_refused(monkeypatch, spark):
     from cohortlens import session
 
