@@ -2,6 +2,11 @@
 
 Every stage takes the documents its predecessor kept and returns documents, so its result can be written
 and read again; ``run`` chains the stages over the ``documents`` table.
+
+Defined results: null and empty texts pass every stage but the first, where they stand or fall by the score of
+a document without words; repeated rows are judged alike; texts of any length are read whole; an empty table
+stays empty through all stages; further columns of ``documents`` go through unchanged, also where their names
+clash with those an operator adds.
 """
 
 from __future__ import annotations
