@@ -10,7 +10,8 @@ turns becomes many rows and is never gathered in one place.
 Defined results: turns are ordered by number, then role, then text, nulls first; exactly repeated rows
 count once; a null or empty text is an empty message; a null role is a user without a name and has no
 perspective of its own; a conversation with narrators only has no perspective; rows without a conversation
-or a turn number have no place in a dialogue and are left out; an empty table gives an empty result.
+or a turn number have no place in a dialogue and are left out; texts may have any length; an empty table gives
+an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ with its smallest keys, as more than k + 1 of them can never be needed.
 Defined results: vectors that are null, empty or zero, hold null or non-finite components, or have another
 length than most, take no part, neither as queries nor as candidates; a key that occurs in several rows has
 several vectors, of which the nearest counts, and is never its own neighbour; ties go to the smaller key; an
-empty table gives an empty result.
+empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

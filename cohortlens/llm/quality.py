@@ -13,7 +13,8 @@ average of its words' scores. Scoring is one pass without a shuffle.
 Defined results: a null or empty text has no words and gets the score of the bias alone; a text of any
 length is scored whole; labels that are null or without a document are not learned from, and repeated
 labels of a document count once each; without labelled rows, or with one label only, every score is the
-share of label 1 (0.5 without any).
+share of label 1 (0.5 without any); documents with equal hashes are sampled in the order of their keys; an empty
+table gives an empty result; columns that clash with results are kept beside a longer name.
 """
 
 from __future__ import annotations

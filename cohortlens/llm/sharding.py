@@ -9,8 +9,8 @@ items; with fewer groups than packets nearly every item is a single group. Packe
 a shard as ``packets`` grows, and differencing cancels what they differ by.
 
 Defined results: a null text has no bytes and shares the group of the empty text; its CRC is that of no
-bytes; repeated rows and repeated keys are rows of their own; an empty table gives an empty result.
-Slots number the rows of a shard from 0 without gaps.
+bytes; texts may have any length; repeated rows and repeated keys are rows of their own; an empty table gives
+an empty result; other columns, whatever their names, are not read. Slots number the rows of a shard from 0 without gaps.
 """
 
 from __future__ import annotations

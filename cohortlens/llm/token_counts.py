@@ -12,7 +12,8 @@ that the new text shares with the old one behind the edit everything is as it wa
 Defined results: a null text counts as the empty text (no segments, 0 tokens); edits are applied in the order
 given, each to the text as the one before left it; positions beyond the end append, negative positions and
 lengths count as 0, a null insertion inserts nothing; documents without edits keep their state; repeated rows
-are counted one by one; an empty table gives an empty result.
+are counted one by one; texts may have any length; an empty table gives an empty result; columns that clash
+with results are kept beside a longer name.
 """
 
 from __future__ import annotations
