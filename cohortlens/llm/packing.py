@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +43,9 @@ SIZE = 2048
 END_ID = 1
 # Words given to the library in one call.
 WORDS_A_CALL = 20_000
+# The tokenizer's split for ASCII alone, and what needs the general way: added tokens, control characters.
+ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+GENERAL = re.compile(r"<\||[\x00-\x08\x0e-\x1f\x7f]")
 
 
 # -- ids
@@ -62,7 +66,7 @@ class LibraryEncoder(bpe.Encoder):
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known = self.merged_words
-        if len(known) + len(words) > bpe.WORDS:
+        if len(known) + len(words) > 2 * bpe.WORDS:
             known.clear()
         new = [w for w in words if w not in known]
         for i in range(0, len(new), WORDS_A_CALL):
@@ -76,8 +80,14 @@ class LibraryEncoder(bpe.Encoder):
         return np.frombuffer(b"".join(found), "<u4").astype(np.int64), sizes
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        Plain ASCII needs no normal form, so it is split into words at once; other texts are looked up by
+        chunks between white space.
+        """
         rows: list[list[bytes | None]] = []
+        words: set[str] = set()
+        word_gaps: list[tuple[list, int, str]] = []
         # Chunks that are not in the cache: where they belong.
         gaps: list[tuple[list, int, str]] = []
         new: set[str] = set()
@@ -90,9 +100,26 @@ class LibraryEncoder(bpe.Encoder):
                 found[i] = self.words[chunk]
             gaps.clear()
             new.clear()
+            self.encode_words(list(words))
+            for found, i, word in word_gaps:
+                found[i] = self.merged_words[word]
+            word_gaps.clear()
+            words.clear()
 
         for text in texts:
             row: list[bytes | None] = []
+            if text and text.isascii() and not GENERAL.search(text):
+                pieces = ASCII_SPLIT.findall(text.lower())
+                row = list(map(self.merged_words.get, pieces))
+                at = -1
+                for _ in range(row.count(None)):
+                    at = row.index(None, at + 1)
+                    word_gaps.append((row, at, pieces[at]))
+                    words.add(pieces[at])
+                rows.append(row)
+                if len(words) > bpe.WORDS // 8:
+                    learn()
+                continue
             for part in self._parts(text):
                 if not isinstance(part, list):
                     row.append(part)

@@ -157,3 +157,17 @@ def test_copies_of_one_bad_length(text_spark, library):
         library,
         20,
     )
+
+
+def test_ids_are_those_of_the_library(library, monkeypatch):
+    rng = random.Random(8)
+    parts = list("aZs'9 .-_<|>~") + ["\n", "\t", "\x0b", "\x1c", "\x85", "'ll", "<|endoftext|>", "É", "the ", "WORD", "\x00"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(1500)] + [None, "", "a" * 3000, "'S'T"]
+    for words in (400_000, 40):
+        monkeypatch.setattr(packing.bpe, "WORDS", words)
+        encoder = packing.LibraryEncoder(__import__("json").loads(word_tokenizer().raw))
+        for first in range(0, len(texts), 100):
+            part = texts[first : first + 100]
+            for text, ids in zip(part, encoder.encode_batch(part)):
+                want = library.encode(text or "", add_special_tokens=False).ids
+                assert np.frombuffer(ids, "<u4").tolist() == want, text
