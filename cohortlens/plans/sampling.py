@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.expressions import hash_uniform
-from cohortlens.operators.neighbours import nearest_vectors
+from cohortlens.operators.balls import nearest_vectors
 from cohortlens.operators.ordered import ordinal
 from cohortlens.session import cut_lineage
 

@@ -3,8 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from cohortlens.operators import neighbours, ordered, stats
+from cohortlens.operators import balls, neighbours, ordered, stats
 from cohortlens.plans import evaluation, recommend
 
 
@@ -94,15 +95,68 @@ def test_knn_estimates_do_not_depend_on_blocks(spark, monkeypatch):
     assert whole.est_baseline.tolist() == pytest.approx(blocked.est_baseline.tolist())
 
 
-def test_nearest_vectors(spark, small_blocks):
-    rng = np.random.default_rng(2)
-    points = rng.integers(0, 4, (40, 3)).astype(float)
+def brute_nearest(keys, points, asked, k):
+    """(key, neighbour, distance2, rank) over all pairs."""
+    found = []
+    for i in np.flatnonzero(asked):
+        gap = np.round(((points - points[i]) ** 2).sum(1), 9)
+        others = sorted((g, key) for j, (g, key) in enumerate(zip(gap, keys)) if j != i)[:k]
+        found += [(keys[i], key, g, n + 1) for n, (g, key) in enumerate(others)]
+    return sorted(found)
+
+
+def clustered(seed, n, centres, width):
+    """Well separated clusters, a third of all rows being one repeated vector."""
+    rng = np.random.default_rng(seed)
+    points = rng.normal(0, 40, (centres, width))[rng.integers(0, centres, n)] + rng.normal(0, 1, (n, width))
+    points[rng.permutation(n)[: n // 3]] = points[0]
+    return points
+
+
+@pytest.mark.parametrize(
+    "points",
+    [
+        np.random.default_rng(2).integers(0, 4, (40, 3)).astype(float),
+        np.random.default_rng(3).normal(1000, 1, (150, 8)),
+        clustered(4, 300, 12, 5),
+        np.zeros((30, 2)),
+        np.array([[1.0], [2.0], [4.0]]),
+        np.array([[1.0, 2.0]]),
+    ],
+    ids=["ties", "far from the origin", "clusters with copies", "one vector", "fewer than k", "one row"],
+)
+def test_nearest_vectors(spark, monkeypatch, points):
+    monkeypatch.setattr(balls, "BLOCK_POINTS", 20)
+    monkeypatch.setattr(balls, "STEP_CELLS", 50)
+    keys = [f"k{i:03d}" for i in np.random.default_rng(5).permutation(len(points))]
+    asked = np.arange(len(points)) % 3 != 1
+    df = spark.createDataFrame(
+        [(k, p.tolist(), bool(w)) for k, p, w in zip(keys, points, asked)],
+        "i string, v array<double>, w boolean",
+    )
+    wanted = None if len(points) == 150 else "w"
+    got = balls.nearest_vectors(df, "i", "v", 5, wanted).collect()
+    expected = brute_nearest(keys, points, asked | (wanted is None), 5)
+    assert sorted((r.key, r.neighbour, r["rank"]) for r in got) == sorted((a, b, n) for a, b, _, n in expected)
+    found = {(r.key, r["rank"]): r.distance2 for r in got}
+    assert all(found[a, n] == pytest.approx(g, abs=1e-6) for a, _, g, n in expected)
+
+
+def test_nearest_vectors_leave_unusable_rows_out(spark):
+    rows = [(1, [0.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0]), (6, [3.0, 4.0])]
+    got = balls.nearest_vectors(spark.createDataFrame(rows, "i int, v array<double>"), "i", "v", 2).collect()
+    assert sorted(map(tuple, got)) == [(1, 6, 25.0, 1), (6, 1, 25.0, 1)]
+    assert balls.nearest_vectors(spark.createDataFrame([], "i int, v array<double>"), "i", "v", 2).count() == 0
+
+
+def test_few_balls_are_opened_where_vectors_cluster(spark):
+    points = clustered(6, 2000, 40, 4)
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "i int, v array<double>")
-    got = neighbours.nearest_vectors(df, "i", "v", 5).toPandas().sort_values(["key", "rank"])
-    gap = ((points[:, None] - points[None]) ** 2).sum(2)
-    np.fill_diagonal(gap, np.inf)
-    expected = np.argsort(gap, axis=1, kind="stable")[:, :5]
-    assert got.neighbour.to_numpy().reshape(40, 5).tolist() == expected.tolist()
+    made = balls.search(df, "i", "v", 5, F.lit(True))
+    opened = made.visits.agg(F.avg(F.size("_opened"))).first()[0]
+    # Copies are one point, so about 1,334 points and 36 pivots.
+    assert made.classes.count() == len(np.unique(points, axis=0)) and made.balls == 36
+    assert opened < made.balls / 4
 
 
 def test_top_unseen_with_a_user_who_rated_almost_everything(spark, monkeypatch):
