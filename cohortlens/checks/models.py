@@ -273,13 +273,6 @@ def evaluate_classes(t: Tables) -> DataFrame:
     return E.class_report(_tree_predictions(t).filter("is_dev"))
 
 
-@check("coef_ranking")
-def coef_ranking(t: Tables) -> DataFrame:
-    rows = data(t, HISTORY)
-    model, _ = M.evaluate("logistic", M.logistic(M.train_part(rows).count()), rows, len(HISTORY))
-    return M.coefficients(model, HISTORY).orderBy(F.desc("coef"))
-
-
 @check("lasso_select")
 def lasso_select(t: Tables) -> DataFrame:
     return M.lasso_select(data(t), FULL)

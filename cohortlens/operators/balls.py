@@ -158,8 +158,8 @@ def search(df: DataFrame, key: str, vector: str, k: int, wanted: Column) -> Sear
                 "_ball": rows["_ball"].to_numpy()[asked],
                 "_block": rows["_block"].to_numpy()[asked],
                 "_bound": gaps[:, k - 1],
-                "_others": [ids[a[a >= 0]].tolist() for a in at],
-                "_gaps": [g[a >= 0] for a, g in zip(at, gaps)],
+                "_others": pd.Series([ids[a[a >= 0]].tolist() for a in at], dtype=object),
+                "_gaps": pd.Series([g[a >= 0] for a, g in zip(at, gaps)], dtype=object),
             }
         )
 

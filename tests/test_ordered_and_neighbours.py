@@ -129,7 +129,8 @@ def test_nearest_vectors(spark, monkeypatch, points):
     monkeypatch.setattr(balls, "BLOCK_POINTS", 20)
     monkeypatch.setattr(balls, "STEP_CELLS", 50)
     keys = [f"k{i:03d}" for i in np.random.default_rng(5).permutation(len(points))]
-    asked = np.arange(len(points)) % 3 != 1
+    # In the last case of many, most blocks hold no row that is asked for.
+    asked = np.arange(len(points)) % (40 if len(points) == 300 else 2) == 0
     df = spark.createDataFrame(
         [(k, p.tolist(), bool(w)) for k, p, w in zip(keys, points, asked)],
         "i string, v array<double>, w boolean",
