@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from cohortlens.checks import views as V
 from cohortlens.checks.registry import check, part
 from cohortlens.functions import expressions as X
-from cohortlens.operators import encode, rows, stats
+from cohortlens.operators import encode, frequent, rows, stats
 from cohortlens.plans import course, students, term
 from cohortlens.session import scratch_path
 from cohortlens.sources import domain as D
@@ -462,6 +462,28 @@ def profile_columns(t: Tables) -> DataFrame:
     return stats.profile_columns(cumulative(t), _PROFILED)
 
 
+_FREQUENT = 0.005
+_VALUED = [*_PROFILED, "term_code", "plan_cd"]
+
+
+@check(
+    "frequent_values",
+    "WITH c AS MATERIALIZED (SELECT * FROM v_cum) "
+    + " UNION ALL ".join(
+        f"""SELECT column_name, CAST(row_number() OVER (ORDER BY n DESC, value_number, value_text) AS INT) AS rank,
+  value_text, value_number, n, known FROM (
+  SELECT '{c}' AS column_name, {"CAST(v AS VARCHAR), CAST(NULL AS DOUBLE)" if c == "plan_cd" else "CAST(NULL AS VARCHAR), CAST(v AS DOUBLE)"},
+    count(*), CAST(sum(count(*)) OVER () AS BIGINT)
+  FROM (SELECT {c} AS v FROM c WHERE {c} IS NOT NULL) GROUP BY v) t(column_name, value_text, value_number, n, known)
+WHERE n >= known * {_FREQUENT}::DOUBLE"""
+        for c in _VALUED
+    ),
+)
+def frequent_values(t: Tables) -> DataFrame:
+    """Values that at least one of 200 known values of a column equals."""
+    return frequent.frequent_values(cumulative(t), _VALUED, _FREQUENT)
+
+
 # ---- windows and term features
 
 
