@@ -11,6 +11,7 @@ from cohortlens.checks.student import features
 from cohortlens.operators.encode import encoded_names
 from cohortlens.plans import evaluation as E
 from cohortlens.plans import models as M
+from cohortlens.plans import network as N
 from cohortlens.plans import penalty_path as P
 from cohortlens.plans import sampling, students, transforms
 from cohortlens.sources.readers import Tables
@@ -238,6 +239,18 @@ def mlp_t(t: Tables) -> DataFrame:
     return judged(t, "mlp", M.perceptron(len(FULL)))
 
 
+# Inner units, classes of the last layer, and epochs of the covered network.
+UNITS, CLASSES, EPOCHS = 256, 128, 6
+
+
+@check("network_t")
+def network_t(t: Tables) -> DataFrame:
+    """The network on balanced training rows: metrics of both parts and the loss of the last epoch."""
+    rows = data(t, balance=True)
+    net, losses = N.fit(M.train_part(rows), [len(FULL), UNITS, CLASSES], ["cohort", "emplid"], EPOCHS)
+    return M.judge(N.predict(net, rows)).withColumn("loss", F.lit(losses[-1][1]))
+
+
 @check("cv_score")
 def cv_score(t: Tables) -> DataFrame:
     rows = M.train_part(data(t))
