@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -76,22 +77,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# What results of this session still lean on, until release() is called.
-_SCRATCH: list[str] = []
-_HELD: list[DataFrame] = []
+# What results of each session still lean on, until release() is called for it.
+_SCRATCH: dict[str, list[str]] = defaultdict(list)
+_HELD: dict[str, list[DataFrame]] = defaultdict(list)
+
+
+def _name_of(spark: SparkSession) -> str:
+    return f"{spark.sparkContext.applicationId} {spark._jsparkSession.sessionUUID()}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in shared storage for a table written and read back; ``release`` removes it."""
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append(path)
+    _SCRATCH[_name_of(spark)].append(path)
     return path
 
 
 def hold(df: DataFrame) -> DataFrame:
     """Keep rows for the many passes of a fit; lost blocks are computed again. ``release`` lets go."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _HELD.append(kept)
+    _HELD[_name_of(df.sparkSession)].append(kept)
     return kept
 
 
@@ -100,11 +105,11 @@ def release(spark: SparkSession) -> None:
 
     Results are lazy, so only the caller knows when: every frame made before this call is spent.
     """
-    while _HELD:
-        _HELD.pop().unpersist()
+    for kept in _HELD.pop(_name_of(spark), []):
+        kept.unpersist()
     context = spark.sparkContext
-    while _SCRATCH:
-        path = context._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    for name in _SCRATCH.pop(_name_of(spark), []):
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 

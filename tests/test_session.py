@@ -15,3 +15,10 @@ def test_release_leaves_no_scratch_tables_and_no_held_rows(spark):
     assert set(root.iterdir()) - before and kept.is_cached
     release(spark)
     assert set(root.iterdir()) <= before and not kept.storageLevel.useMemory
+
+
+def test_release_of_one_session_leaves_the_tables_of_another(spark):
+    mine, other = cut_lineage(spark.range(3)), cut_lineage(spark.newSession().range(4))
+    release(other.sparkSession)
+    assert mine.count() == 3
+    release(spark)
