@@ -13,7 +13,7 @@ from cohortlens.plans import evaluation as E
 from cohortlens.plans import models as M
 from cohortlens.plans import network as N
 from cohortlens.plans import penalty_path as P
-from cohortlens.plans import sampling, students, transforms
+from cohortlens.plans import sampling, sparse_sgd, students, transforms
 from cohortlens.sources.readers import Tables
 
 YEARS = 4.0
@@ -251,6 +251,14 @@ def network_t(t: Tables) -> DataFrame:
     return M.judge(N.predict(net, rows)).withColumn("loss", F.lit(losses[-1][1]))
 
 
+@check("sgd_elastic")
+def sgd_elastic(t: Tables) -> DataFrame:
+    """Weights by stochastic descent with half of the penalty on their sizes, half on their squares."""
+    beta = sparse_sgd.fit(M.train_part(data(t)), len(FULL), penalty=0.01, mix=0.5)
+    rows = [(c, float(v), bool(v != 0)) for c, v in zip(FULL, beta[1:])]
+    return t.spark.createDataFrame(rows, "feature string, coef double, selected boolean")
+
+
 @check("cv_score")
 def cv_score(t: Tables) -> DataFrame:
     rows = M.train_part(data(t))
