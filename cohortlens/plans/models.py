@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -35,7 +37,10 @@ from cohortlens.plans.evaluation import (
 from cohortlens.plans.penalty_path import select
 from cohortlens.plans.sampling import smote
 from cohortlens.plans.students import chunk
-from cohortlens.session import hold
+from cohortlens.session import checkpoint_root, hold
+
+# Semesters whose rows are held and fitted side by side: a fit is many short jobs that leave most cores idle.
+STEPS_AT_ONCE = 5
 
 _SHORT = [
     "major_change_cnt",
@@ -251,14 +256,22 @@ def accuracy_by_semester(
     features: DataFrame, steps: list[int], years: float, columns: dict[int, list[str]] | list[str],
     encoding=DEMOGRAPHIC_ENCODING, balance: bool = False,
 ) -> DataFrame:
-    """Dev and train accuracy of the logistic model per semester, with the gain of each step."""
-    rows = []
-    for t in steps:
+    """Dev and train accuracy of the logistic model per semester, with the gain of each step.
+
+    The semesters share nothing but ``features``, so a few of them are prepared and fitted at a time.
+    """
+    spark = features.sparkSession
+    checkpoint_root(spark)
+
+    def step(t: int) -> DataFrame:
         chosen = columns[t] if isinstance(columns, dict) else columns
         data = held(seq_data(features, t, years, chosen, balance, encoding))
         _, row = evaluate(f"t{t}", logistic(train_part(data).count()), data, len(chosen))
         data.unpersist()
-        rows.append(row.select(F.lit(t).alias("t"), "dev_accuracy", "train_accuracy"))
+        return row.select(F.lit(t).alias("t"), "dev_accuracy", "train_accuracy")
+
+    with ThreadPool(max(min(STEPS_AT_ONCE, len(steps)), 1)) as pool:
+        rows = pool.map(inheritable_thread_target(spark)(step), steps, chunksize=1)
     return with_gain(reduce(DataFrame.unionByName, rows))
 
 

@@ -1,5 +1,7 @@
 """Invariants of sampling, splitting, models and iterative recommenders."""
 
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -161,3 +163,18 @@ def test_a_cluster_without_shared_folder_is_refused(monkeypatch, spark):
 
     with pytest.raises(RuntimeError):
         session.checkpoint_root(Session())
+
+
+def test_semesters_are_fitted_side_by_side(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+
+    def evaluate(name, estimator, data, n_features):
+        # Passed only when another semester is being fitted as well.
+        both.wait()
+        return None, spark.createDataFrame([(0.5, 0.6)], "dev_accuracy double, train_accuracy double")
+
+    monkeypatch.setattr(models, "seq_data", lambda rows, t, *rest: rows.filter(F.col("t") <= t))
+    monkeypatch.setattr(models, "evaluate", evaluate)
+    rows = spark.createDataFrame([(0, False), (1, False)], "t int, is_dev boolean")
+    got = models.accuracy_by_semester(rows, [0, 1], 4.0, ["x"]).orderBy("t").collect()
+    assert [(r.t, r.dev_accuracy, r.train_accuracy) for r in got] == [(0, 0.5, 0.6), (1, 0.5, 0.6)]
