@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.stats import exact_quantiles
-from cohortlens.session import hold
+from cohortlens.session import cut_lineage, hold
 
 BINS = 32
 DIGITS = 6
 # Gains below this are rounding, not information.
 LEAST_GAIN = 1e-9
 UNIT = float(1 << 30)
+# Boosting rounds whose trees are walked through again in every pass; older ones are in the written margin.
+ROUNDS_PER_CUT = 4
 
 
 # -- bins
@@ -120,6 +122,19 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
 
 
+def _summed(flat: np.ndarray, s: np.ndarray, size: int) -> np.ndarray:
+    """Whole numbers of rows added up by cell, ``flat`` being (rows, cells of a row)."""
+    total = np.zeros(size, np.int64)
+    most = int(np.abs(s).max(initial=0))
+    # A sum of doubles is exact as long as it stays below 2^53.
+    rows = max(1, (1 << 53) // max(most, 1))
+    for at in range(0, len(s), rows):
+        part = flat[at : at + rows]
+        weights = np.repeat(s[at : at + rows].astype(float), part.shape[1])
+        total += np.bincount(part.ravel(), weights, size).astype(np.int64)
+    return total
+
+
 def _gini(a: Column, b: Column) -> Column:
     return (a * a + b * b) / (a + b)
 
@@ -186,10 +201,11 @@ def _level(
                     values = np.take_along_axis(x[at], _stacked(offered[t], first)[slot], 1)
                 width = values.shape[1]
                 flat = (slot[:, None] * width + np.arange(width)) * bins + values
+                size = first * width * bins
                 if t not in total:
-                    total[t] = np.zeros((2, first * width * bins), np.int64)
+                    total[t] = np.zeros((2, size), np.int64)
                 for i, s in enumerate((a, b)):
-                    np.add.at(total[t][i], flat, np.broadcast_to(s[:, None], flat.shape))
+                    total[t][i] += _summed(flat, s, size)
         for t, sums in total.items():
             found = np.flatnonzero(sums.any(0))
             width = sums.shape[1] // first // bins
@@ -331,6 +347,13 @@ class Boosted:
     trees: list[Tree] = field(default_factory=list)
     values: list[np.ndarray] = field(default_factory=list)
 
+    def margin(self, x: np.ndarray, start: np.ndarray, after: int = 0) -> np.ndarray:
+        """Log odds after all rounds, given those after the first ``after``."""
+        total = start
+        for tree, value in zip(self.trees[after:], self.values[after:]):
+            total = total + value[tree.route(x, tree.depth)]
+        return total
+
     def margins(self, x: np.ndarray) -> np.ndarray:
         """Log odds after each round, one row per round; a leaf's value counts wherever a path ends."""
         total, out = np.zeros(len(x)), np.zeros((len(self.trees), len(x)))
@@ -357,9 +380,12 @@ def boost(
     """Second-order boosting of the logistic loss on binned training rows.
 
     A cut gains G^2 / (H + penalty) of both sides less that of the whole; both sides need ``least_hessian``;
-    a leaf adds -rate G / (H + penalty) to the log odds. A pass per round and level.
+    a leaf adds -rate G / (H + penalty) to the log odds. A pass per round and level. Every few rounds the rows
+    are written with their log odds, so that a pass walks through the trees since then only.
     """
     model = Boosted(depth, rate, penalty)
+    kept = rows.select("bins", "label", F.lit(0.0).alias("margin"))
+    done = 0
 
     def score(g: Column, h: Column) -> Column:
         return (g / UNIT) * (g / UNIT) / (h / UNIT + penalty)
@@ -367,18 +393,25 @@ def boost(
     def good(g: Column, h: Column) -> Column:
         return h >= least_hessian * UNIT
 
-    for _ in range(rounds):
+    def advanced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield frame.assign(margin=model.margin(_matrix(frame["bins"]), frame["margin"].to_numpy(), done))
+
+    for n_round in range(rounds):
+        if n_round and n_round % ROUNDS_PER_CUT == 0:
+            kept = cut_lineage(kept.mapInPandas(advanced, kept.schema))
+            done = n_round
         tree = Tree(depth)
 
         def taken(frame, x):
-            margin = model.margins(x)[-1] if model.trees else np.zeros(len(x))
-            p = sigmoid(margin)
+            p = sigmoid(model.margin(x, frame["margin"].to_numpy(), done))
             g = np.rint((p - frame["label"].to_numpy()) * UNIT).astype(np.int64)
             h = np.rint(p * (1 - p) * UNIT).astype(np.int64)
             yield 0, np.arange(len(x)), g, h
 
         for level in range(depth):
-            sums = _level(rows, [tree], level, [None], features, bins, taken)
+            sums = _level(kept, [tree], level, [None], features, bins, taken)
             if level == 0:
                 sums = hold(sums)
                 whole = sums.filter("feature = 0").agg(F.sum("s0"), F.sum("s1")).first()

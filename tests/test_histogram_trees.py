@@ -145,3 +145,26 @@ def test_pure_and_empty_rows(spark):
     assert cuts == [[], []]
     assert H.grid_search(none, 2, [1], [3], 2).accuracy == {(1, 3): 0.0}
     assert H.boosted_predictions(none, H.boost(none, 2, 1, 2, 0.5)).count() == 0
+
+
+def test_boosting_passes_walk_through_the_latest_trees_only(rows, monkeypatch):
+    (frame, _), _, _ = rows
+    whole = H.boost(frame, WIDTH, 5, 2, 0.6, bins=8)
+    written, cut_lineage = [], H.cut_lineage
+    monkeypatch.setattr(H, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    monkeypatch.setattr(H, "ROUNDS_PER_CUT", 2)
+    parts = H.boost(frame, WIDTH, 5, 2, 0.6, bins=8)
+    # Rows keep their log odds after the rounds 2 and 4.
+    assert len(written) == 2
+    for n, got in zip((2, 4), written):
+        kept = got.toPandas()
+        assert kept["margin"].tolist() == whole.margins(H._matrix(kept["bins"]))[n - 1].tolist()
+    assert all((a == b).all() for a, b in zip(whole.values, parts.values))
+
+
+def test_histogram_sums_are_exact():
+    rng = np.random.default_rng(1)
+    flat, s = rng.integers(0, 7, (50, 3)), rng.integers(1 << 50, 1 << 51, 50)
+    expected = np.zeros(7, np.int64)
+    np.add.at(expected, flat, np.broadcast_to(s[:, None], flat.shape))
+    assert H._summed(flat, s, 7).tolist() == expected.tolist()
