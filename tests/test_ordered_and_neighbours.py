@@ -160,6 +160,19 @@ def test_few_balls_are_opened_where_vectors_cluster(spark):
     assert opened < made.balls / 4
 
 
+def test_few_balls_are_opened_where_one_coordinate_is_wide_and_others_are_categories(spark):
+    rng = np.random.default_rng(7)
+    categories = [np.eye(3)[rng.integers(0, 3, 3000)] for _ in range(3)]
+    points = np.hstack([rng.integers(0, 60, (3000, 1)), *categories, rng.random((3000, 1))])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "i int, v array<double>")
+    made = balls.search(df, "i", "v", 5, F.lit(True))
+    opened = made.visits.agg(F.avg(F.size("_opened"))).first()[0]
+    assert made.balls == 54 and opened < made.balls / 10
+    got = balls.nearest_vectors(df, "i", "v", 5, None).filter("key < 60").collect()
+    expected = brute_nearest(list(range(3000)), points, np.arange(3000) < 60, 5)
+    assert sorted((r.key, r.neighbour, r["rank"]) for r in got) == sorted((a, b, n) for a, b, _, n in expected)
+
+
 def test_top_unseen_with_a_user_who_rated_almost_everything(spark, monkeypatch):
     monkeypatch.setattr(recommend, "RANKS_PER_SLICE", 4)
     rng = np.random.default_rng(4)
