@@ -6,6 +6,7 @@ import time
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
@@ -18,6 +19,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.expressions import fold_of, ratio
 from cohortlens.functions.labels import DEMOGRAPHIC_ENCODING
 from cohortlens.operators.encode import encoded_names
+from cohortlens.plans import perceptron_fit
 from cohortlens.plans.course import GRADE_FLAGS
 from cohortlens.plans.evaluation import (
     confusion_cells,
@@ -143,8 +146,27 @@ def boosted(trees: int = 100, depth: int = 3, step: float = 0.1) -> GBTClassifie
     return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, seed=42)
 
 
-def perceptron(inputs: int, hidden: tuple[int, ...] = (256, 128), rounds: int = 100):
-    return MultilayerPerceptronClassifier(layers=[inputs, *hidden, 2], maxIter=rounds, seed=42)
+class Perceptron:
+    """The library's network fitted by its own method, with the sums of a round taken in numpy."""
+
+    def __init__(self, layers: list[int], rounds: int, seed: int = 42):
+        self.layers, self.rounds = layers, rounds
+        self._estimator = MultilayerPerceptronClassifier(layers=layers, maxIter=rounds, seed=seed)
+
+    def fit(self, data: DataFrame) -> Model:
+        drawn = self._estimator.copy({self._estimator.maxIter: 0})
+        # Two rows without a fit: the library draws the starting weights, and takes the final ones.
+        rows = [(float(y), Vectors.dense([float(y)] * self.layers[0])) for y in (0, 1)]
+        two = data.sparkSession.createDataFrame(rows, ["label", "features"]).coalesce(1)
+        start = np.asarray(drawn.fit(two).weights)
+        found = perceptron_fit.fit(data, self.layers, start, self.rounds)
+        model = drawn.setInitialWeights(Vectors.dense(found)).fit(two)
+        model.clear(model.getParam("initialWeights"))
+        return model._set(maxIter=self.rounds)
+
+
+def perceptron(inputs: int, hidden: tuple[int, ...] = (256, 128), rounds: int = 100) -> Perceptron:
+    return Perceptron([inputs, *hidden, 2], rounds)
 
 
 def cross_validated(
