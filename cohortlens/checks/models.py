@@ -210,7 +210,7 @@ NET_FOLDS = 100
 
 @check("forest_t")
 def forest_t(t: Tables) -> DataFrame:
-    return judged(t, "forest", M.cross_validated(M.forest(100, maxDepth=10), FOREST_GRID))
+    return judged(t, "forest", M.ForestSearch(FOREST_GRID["featureSubsetStrategy"], trees=100, depth=10))
 
 
 @check("gbt_shallow")

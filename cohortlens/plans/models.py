@@ -39,6 +39,7 @@ from cohortlens.plans.evaluation import (
 )
 from cohortlens.plans.penalty_path import select
 from cohortlens.plans.sampling import smote
+from cohortlens.plans.shared_forest import Forest, ForestSearch
 from cohortlens.plans.students import chunk
 from cohortlens.session import checkpoint_root, hold
 
@@ -213,6 +214,8 @@ def predict(model: Model, data: DataFrame, cut: float = 0.5) -> DataFrame:
 
 def chosen_parameters(model: Model) -> str:
     """The parameters a grid search settled on, or those set by the caller, as ``name=value`` by name."""
+    if isinstance(model, Forest):
+        return model.parameters
     fitted = model
     names = set()
     if isinstance(model, CrossValidatorModel):
