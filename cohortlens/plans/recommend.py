@@ -19,7 +19,7 @@ from cohortlens.functions.expressions import hash_uniform
 from cohortlens.operators.neighbours import rater_neighbours, similar_entities
 from cohortlens.operators.ordered import ordinal
 from cohortlens.plans.ratings import folded, rmse
-from cohortlens.session import checkpoint_root, cut_lineage
+from cohortlens.session import checkpoint_root, cut_lineage, hold, shuffle_partitions
 
 # Rating scale and the default parameters of the compared algorithms.
 SCALE = (1, 10)
@@ -59,31 +59,40 @@ def normal_predictor(train: DataFrame, test: DataFrame, seed: int = 42) -> DataF
 def bias_baseline(train: DataFrame, rounds: int = BIAS_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """User and item biases by alternating penalised means: (fold, user, b_user), (fold, item, b_item).
 
-    Both steps combine before their shuffle. The deviations are written once because every round reads
-    them, and lineage is cut every few rounds.
+    Both steps combine before their shuffle. Every round reads the deviations twice, so they are written once
+    and kept in two layouts, by user and by item, each in the order of its key: a round then moves its sums
+    but no deviations. Lineage is cut every few rounds.
     """
     deviations = cut_lineage(
         train.join(F.broadcast(fold_means(train)), "fold").select(
             "fold", "user", "item", (F.col("rating") - F.col("mean")).alias("dev")
         )
     )
+    parts = shuffle_partitions(train.sparkSession)
+
+    def laid_out(side: str) -> DataFrame:
+        # A null key joins nothing.
+        known = deviations.filter(F.col("fold").isNotNull() & F.col(side).isNotNull())
+        return hold(known.repartition(parts, "fold", side).sortWithinPartitions("fold", side))
 
     def step(rows: DataFrame, side: str, penalty: int) -> DataFrame:
         return rows.groupBy("fold", side).agg(
             (F.sum("left") / (F.lit(penalty) + F.count(F.lit(1)))).alias(f"b_{side}")
         )
 
+    # Rows of all users, those without one too, count in the first round.
+    users, items = laid_out("user"), laid_out("item")
     by_user = None
     for n in range(1, rounds + 1):
         rows = deviations.withColumn("left", F.col("dev"))
         if by_user is not None:
-            rows = deviations.join(by_user, ["fold", "user"]).withColumn(
+            rows = users.join(by_user.hint("merge"), ["fold", "user"]).withColumn(
                 "left", F.col("dev") - F.col("b_user")
             )
         by_item = step(rows, "item", ITEM_PENALTY)
         if n == rounds:
             by_item = cut_lineage(by_item)
-        rows = deviations.join(by_item, ["fold", "item"]).withColumn(
+        rows = items.join(by_item.hint("merge"), ["fold", "item"]).withColumn(
             "left", F.col("dev") - F.col("b_item")
         )
         by_user = step(rows, "user", USER_PENALTY)
