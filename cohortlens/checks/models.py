@@ -15,6 +15,7 @@ from cohortlens.plans import models as M
 from cohortlens.plans import network as N
 from cohortlens.plans import penalty_path as P
 from cohortlens.plans import sampling, sparse_sgd, students, transforms
+from cohortlens.session import cut_lineage
 from cohortlens.sources.readers import Tables
 
 YEARS = 4.0
@@ -186,7 +187,8 @@ FROM v_features f {" ".join(
 )}""",
 )
 def quantile_normal(t: Tables) -> DataFrame:
-    rows = features(t).select("emplid", "cohort", "term_code", "plan_cd", *_SCALED)
+    # Written once, as the landmarks and the result both read them.
+    rows = cut_lineage(features(t).select("emplid", "cohort", "term_code", "plan_cd", *_SCALED))
     return _rounded(transforms.quantile_normal(rows, _SCALED), _SCALED)
 
 
