@@ -43,9 +43,10 @@ SIZE = 2048
 END_ID = 1
 # Words given to the library in one call.
 WORDS_A_CALL = 20_000
-# The tokenizer's split for ASCII alone, and what needs the general way: added tokens, control characters.
+# The tokenizer's split for ASCII alone, and what needs the general way: how added tokens begin, control characters.
 ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-GENERAL = re.compile(r"<\||[\x00-\x08\x0e-\x1f\x7f]")
+ADDED = "<|"
+CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 
 # -- ids
@@ -108,9 +109,15 @@ class LibraryEncoder(bpe.Encoder):
 
         for text in texts:
             row: list[bytes | None] = []
-            if text and text.isascii() and not GENERAL.search(text):
+            if text and text.isascii() and ADDED not in text and not CONTROL.search(text):
                 pieces = ASCII_SPLIT.findall(text.lower())
                 row = list(map(self.merged_words.get, pieces))
+                try:
+                    # Fails at the first word that is not known.
+                    rows.append([b"".join(row)])
+                    continue
+                except TypeError:
+                    pass
                 at = -1
                 for _ in range(row.count(None)):
                     at = row.index(None, at + 1)
