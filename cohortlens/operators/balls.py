@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import threading
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +27,8 @@ from cohortlens.session import cut_lineage
 
 BLOCK_POINTS = 1024
 PIVOT_BYTES = 32_000_000
+# Points of the sample for every ball, and at least.
+SAMPLE_EACH, SAMPLE_LEAST = 32, 8192
 STEP_CELLS = 4_000_000
 
 
@@ -92,12 +95,33 @@ def _halves(x: np.ndarray):
     return None
 
 
+def _sample(points: DataFrame, n: int, width: int) -> np.ndarray:
+    """The first ``n`` vectors in the order of their hash; they reach the driver as bytes, not as rows of numbers."""
+
+    def pack(frames):
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({"x": [np.stack(frame["_vector"]).astype(float).tobytes()]})
+
+    picked = points.orderBy(F.xxhash64("_id"), "_id").select("_vector").limit(n)
+    held = [np.frombuffer(r["x"]) for r in picked.mapInPandas(pack, "x binary").collect()]
+    return np.concatenate(held or [np.zeros(0)]).reshape(-1, width)
+
+
+# Searches made side by side draw their cuts one after the other, so the driver holds one sample.
+_ONE = threading.Lock()
+
+
 def _cuts(points: DataFrame, n: int, width: int) -> Cuts:
+    with _ONE:
+        return _drawn_cuts(points, n, width)
+
+
+def _drawn_cuts(points: DataFrame, n: int, width: int) -> Cuts:
     """Cuts through a sample of points, the first in the order of their hash; the fullest ball is cut next."""
     most = max(1, PIVOT_BYTES // (16 * max(width, 1)))
     wanted = min(max(math.isqrt(n), -(-n // BLOCK_POINTS)), most)
-    picked = points.orderBy(F.xxhash64("_id"), "_id").select("_vector").limit(2 * most).collect()
-    x = np.array([r["_vector"] for r in picked], dtype=float).reshape(len(picked), -1)
+    x = _sample(points, min(2 * most, max(SAMPLE_EACH * wanted, SAMPLE_LEAST)), width)
     nodes: list[list] = []
     # (-size, number, rows, node and side it hangs on)
     open_, balls, number = [(-len(x), 0, np.arange(len(x)), None)], [], 0
