@@ -1,5 +1,6 @@
 """Neighbours and personal lists made in several passes equal those of one pass, and passes leave no shuffles."""
 
+import time
 from pathlib import Path
 
 import numpy as np
@@ -52,11 +53,15 @@ def test_finished_queries_leave_no_shuffle_files(spark, tmp_path):
 
     session.apply_settings(spark)
     sc = spark.sparkContext
-    folder = sc._jvm.org.apache.spark.util.Utils.getConfiguredLocalDirs(sc._jsc.sc().conf())[0]
+    folders = list(sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
 
     def files():
-        return {f for f in Path(folder).rglob("shuffle_*.data")}
+        return {f for folder in folders for f in Path(folder.getPath()).rglob("shuffle_*.data")}
 
     before = files()
     spark.range(100_000).repartition(3, "id").write.parquet(str(tmp_path / "out"))
+    # They are removed in the background.
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
     assert not files() - before
